@@ -58,7 +58,7 @@ def rank_literal(path: str) -> Column:
 def fold(word: Column, table: Column) -> Column:
     """The ids of a word (array<int>), by folding ranked merges over its bytes."""
     code = F.hex(F.encode(word, "UTF-8"))
-    rank = lambda x: F.get(table, (F.crc32(x) % BUCKETS).cast("int")).getItem(x)
+    rank = lambda x: F.get(table, (F.crc32(x) % BUCKETS).cast("int"))[x]
 
     def over(h: Column) -> Column:
         n = (F.length(h) / 2).cast("int")

@@ -20,8 +20,6 @@ columns pass through.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,88 +85,80 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     }).drop("_w", "_l", "_d", "_m")
 
 
-def _distance(x: list[Column], mean: list[Column], cov: dict[tuple[int, int], Column]) -> Column:
-    """Squared Mahalanobis distance by an unrolled Cholesky solve; columns are kept apart by let-bindings."""
-    p = len(x)
-    args = F.array(*x, *mean, *[cov[i, j] for i in range(p) for j in range(i + 1)])
+def _whitened(df: DataFrame, by: list[str], *also: str) -> DataFrame:
+    """``by``, ``mean`` and ``white``: the inverse Cholesky factor of each group's scatter, lower triangle by rows.
 
-    def solve(a: Column) -> Column:
-        at = lambda k: F.get(a, F.lit(k))
-        c = {(i, j): at(2 * p + i * (i + 1) // 2 + j) for i in range(p) for j in range(i + 1)}
+    Both are folds over the cells of the triangle, so that expressions stay small.
+    """
+    p = len(FEATURES)
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(p) for j in range(i + 1)])
+    at = lambda a, i, j: F.get(a, (i * (i + 1) / 2).cast("int") + j)
+    total = lambda terms: F.aggregate(terms, F.lit(0.0), lambda s, v: s + v)
+    upto = lambda lo, hi: F.filter(F.sequence(F.lit(0), F.lit(p - 1)), lambda q: (q >= lo) & (q < hi))
 
-        def row(i: int, state: Column) -> Column:
-            # state: the rows of L so far, flattened, then the solved z
-            low = lambda r, q: F.get(state["l"], F.lit(r * (r + 1) // 2 + q))
-            mine: list[Column] = []
-            for j in range(i):
-                s = c[i, j]
-                for q in range(j):
-                    s = s - mine[q] * low(j, q)
-                mine.append(s / low(j, j))
-            d = c[i, i]
-            for q in range(i):
-                d = d - mine[q] * mine[q]
-            root = F.sqrt(F.greatest(d, F.lit(1e-9)))
-            z = at(i) - at(p + i)
-            for q in range(i):
-                z = z - mine[q] * F.get(state["z"], F.lit(q))
-            return F.struct(F.concat(state["l"], F.array(*mine, root)).alias("l"), F.concat(state["z"], F.array(z / root)).alias("z"))
+    def factor(l: Column, c: Column) -> Column:
+        rest = at(F.col("_c"), c["i"], c["j"]) - total(F.transform(upto(F.lit(0), c["j"]), lambda q: at(l, c["i"], q) * at(l, c["j"], q)))
+        return F.concat(l, F.array(F.when(c["i"] == c["j"], F.sqrt(F.greatest(rest, F.lit(1e-9)))).otherwise(rest / at(l, c["j"], c["j"]))))
 
-        state = F.struct(F.array().cast("array<double>").alias("l"), F.array().cast("array<double>").alias("z"))
-        return _fold(state, row, p)
+    def inverse(w: Column, c: Column) -> Column:
+        rest = total(F.transform(upto(c["j"], c["i"]), lambda q: at(F.col("_l"), c["i"], q) * at(w, q, c["j"])))
+        return F.concat(w, F.array(F.when(c["i"] == c["j"], 1.0).otherwise(-rest) / at(F.col("_l"), c["i"], c["i"])))
 
-    z = _let(args, solve)
-    return F.aggregate(z, F.lit(0.0), lambda s, v: s + v * v)
+    none = F.array().cast("array<double>")
+    out = df.withColumn("_c", F.array(*[f"c{i}_{j}" for i in range(p) for j in range(i + 1)])).withColumn("_l", F.aggregate(cells, none, factor))
+    return out.select(*by, *also, F.array(*[f"m{i}" for i in range(p)]).alias("mean"), F.aggregate(cells, none, inverse).alias("white"))
 
 
-def _fold(state: Column, row, p: int, i: int = 0) -> Column:
-    return state["z"] if i == p else _let(state, lambda s: _fold(row(i, s), row, p, i + 1))
+def _squared(mean: Column, white: Column) -> Column:
+    """Squared Mahalanobis distance of the features."""
+    p = len(FEATURES)
+    gap = [F.col(f) - F.get(mean, F.lit(i)) for i, f in enumerate(FEATURES)]
+    d2 = F.lit(0.0)
+    for i in range(p):
+        z = gap[0] * F.get(white, F.lit(i * (i + 1) // 2))
+        for j in range(1, i + 1):
+            z = z + gap[j] * F.get(white, F.lit(i * (i + 1) // 2 + j))
+        d2 = d2 + F.pow(z, 2.0)
+    return d2
 
 
 def _moments(df: DataFrame, by: list[str]) -> DataFrame:
-    """Mean and scatter (floored on the diagonal) of the features by group, with ``n``."""
+    """Mean and scatter (floored on the diagonal) of the features by group."""
     p = len(FEATURES)
     means = [F.avg(f).alias(f"m{i}") for i, f in enumerate(FEATURES)]
     covs = [F.covar_pop(FEATURES[i], FEATURES[j]).alias(f"c{i}_{j}") for i in range(p) for j in range(i + 1)]
-    out = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *means, *covs)
+    out = df.groupBy(*by).agg(*means, *covs)
     return out.withColumns({f"c{i}_{i}": F.col(f"c{i}_{i}") + FLOOR[i] ** 2 for i in range(p)})
 
 
 def _with_distance(df: DataFrame, estimate: DataFrame, by: list[str], few: bool) -> DataFrame:
-    """Adds ``d2`` of each row under its group's estimate."""
-    p = len(FEATURES)
-    right = estimate.select(*[F.col(b).alias(f"_{b}") for b in by], *[f"m{i}" for i in range(p)], *[f"c{i}_{j}" for i in range(p) for j in range(i + 1)])
-    on = F.lit(True)
-    for b in by:
-        on = on & F.col(b).eqNullSafe(F.col(f"_{b}"))
-    out = df.join(F.broadcast(right) if few else right, on, "inner") if by else df.join(F.broadcast(right), on)
-    d2 = _distance([F.col(f) for f in FEATURES], [F.col(f"m{i}") for i in range(p)], {(i, j): F.col(f"c{i}_{j}") for i in range(p) for j in range(i + 1)})
-    return out.withColumn("d2", d2).select(*df.columns, "d2")
+    """Adds ``d2`` of each row under its group's estimate (``mean`` and ``white``)."""
+    right = _renamed(estimate.select(*by, "mean", "white"), by)
+    out = df.join(F.broadcast(right) if few else right, _same(by), "inner")
+    return out.withColumn("d2", _squared(F.col("mean"), F.col("white"))).select(*df.columns, "d2")
 
 
-def estimates(df: DataFrame, by: list[str], folder: str, core: float = 0.75, steps: int = 3) -> DataFrame:
-    """A minimum-covariance-determinant estimate of each group: location, scatter, ``n``."""
+def estimates(df: DataFrame, by: list[str], folder: str, core: float = 0.75, steps: int = 2) -> DataFrame:
+    """A minimum-covariance-determinant estimate of each group: ``n``, ``mean``, ``white`` (scaled), one row a group."""
     p = len(FEATURES)
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(f, [0.25, 0.5, 0.75], 2000).alias(f"q{i}") for i, f in enumerate(FEATURES)])
     zero = F.lit(0.0)
     now = sizes.select(*by, "n", *[F.col(f"q{i}")[1].alias(f"m{i}") for i in range(p)],
                        *[(((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349) ** 2 + FLOOR[i] ** 2 if i == j else zero).alias(f"c{i}_{j}") for i in range(p) for j in range(i + 1)])
-    now = saved(now, f"{folder}/s0")
+    now = saved(_whitened(now, by, "n"), f"{folder}/s0")
     few = now.count() <= BROADCAST_ROWS
     for k in range(1, steps + 1):
         near = _with_distance(df, now, by, few)
-        limit = near.groupBy(*by).agg(F.percentile_approx("d2", core, 2000).alias("lim"), F.count(F.lit(1)).alias("all"), F.percentile_approx("d2", 0.5, 2000).alias("mid"))
-        limit = saved(limit.select(*[F.col(b).alias(f"_{b}") for b in by], "lim", "all"), f"{folder}/l{k}")
-        on = F.lit(True)
-        for b in by:
-            on = on & F.col(b).eqNullSafe(F.col(f"_{b}"))
-        inside = near.join(F.broadcast(limit) if few else limit, on).filter("d2 <= lim")
-        now = saved(_moments(inside, by).drop("n").join(_renamed(sizes.select(*by, "n"), by), _same(by)).drop(*[f"_{b}" for b in by]), f"{folder}/s{k}")
-    # scale the scatter so that the median squared distance is the normal law's
-    mid = _with_distance(df, now, by, few).groupBy(*by).agg(F.percentile_approx("d2", 0.5, 2000).alias("mid"))
-    out = now.join(_renamed(mid, by), _same(by)).drop(*[f"_{b}" for b in by])
-    grow = F.greatest(F.col("mid") / _CHI_MEDIAN[p - 1], F.lit(1.0))
-    return saved(out.withColumns({f"c{i}_{j}": F.col(f"c{i}_{j}") * grow for i in range(p) for j in range(i + 1)}).drop("mid"), f"{folder}/final")
+        limit = _renamed(saved(near.groupBy(*by).agg(F.percentile_approx("d2", core, 2000).alias("lim")), f"{folder}/l{k}"), by)
+        inside = near.join(F.broadcast(limit) if few else limit, _same(by)).filter("d2 <= lim")
+        counts = _renamed(now.select(*by, "n"), by)
+        moments = _moments(inside, by).join(F.broadcast(counts) if few else counts, _same(by))
+        now = saved(_whitened(moments, by, "n"), f"{folder}/s{k}")
+    # scale the scatter so that the median squared distance is at least the normal law's
+    mid = _renamed(_with_distance(df, now, by, few).groupBy(*by).agg(F.percentile_approx("d2", 0.5, 2000).alias("mid")), by)
+    out = now.join(F.broadcast(mid) if few else mid, _same(by)).drop(*[f"_{b}" for b in by])
+    shrink = F.sqrt(F.greatest(F.col("mid") / _CHI_MEDIAN[p - 1], F.lit(1.0)))
+    return saved(out.withColumn("white", F.transform("white", lambda x: x / shrink)).select(*by, "n", "mean", "white"), f"{folder}/final")
 
 
 def _renamed(df: DataFrame, by: list[str]) -> DataFrame:
@@ -189,20 +179,26 @@ def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
     folder = work_dir(spark, "quality")
     base = docs.select(*[F.col(c).alias(f"k_{i}") for i, c in enumerate(keep)], F.col(lang).alias("g_lang"), F.col(source).alias("g_source"), F.col(text).alias("g_text"))
     rows = saved(statistics(base, "g_text").drop("g_text"), f"{folder}/rows")
-    good = rows.filter(~F.col("base_failed")).select("g_lang", "g_source", *FEATURES)
+    # one estimate of each level's groups, in one go: (2, lang, source), (1, lang), (0)
+    nothing = F.lit(None).cast("string")
+    group = lambda level, *of: F.struct(F.lit(level).alias("level"), *[c.cast("string").alias(n) for c, n in zip(of, ("a", "b"))])
+    every = F.explode(F.array(group(2, F.col("g_lang"), F.col("g_source")), group(1, F.col("g_lang"), nothing), group(0, nothing, nothing))).alias("g")
+    good = rows.filter(~F.col("base_failed")).select(every, *FEATURES).select("g.*", *FEATURES)
+    est = estimates(good, ["level", "a", "b"], folder, core, steps)
+    groups = rows.select("g_lang", "g_source").distinct()
+    for level, of in ((2, ("g_lang", "g_source")), (1, ("g_lang",)), (0, ())):
+        e = est.filter((F.col("level") == level) & (F.col("n") >= (least_rows if level else 1)))
+        e = e.select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.struct("mean", "white").alias(f"e{level}"))
+        on = F.lit(True)
+        for c, x in zip(of, ("_a", "_b")):
+            on = on & F.col(c).cast("string").eqNullSafe(F.col(x))
+        if not of:
+            on = F.col("g_lang").eqNullSafe(F.col("g_lang"))
+        few = not of or e.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        groups = groups.join(F.broadcast(e) if few else e, on, "left").drop("_a", "_b")
     both = ["g_lang", "g_source"]
-    levels = []
-    for name, by, frame in (("both", both, good), ("lang", ["g_lang"], good), ("all", ["g_all"], good.withColumn("g_all", F.lit(1)))):
-        levels.append(estimates(frame, by, f"{folder}/{name}", core, steps))
-    p = len(FEATURES)
-    cells = [f"m{i}" for i in range(p)] + [f"c{i}_{j}" for i in range(p) for j in range(i + 1)]
-    groups = rows.select(*both).distinct().withColumn("g_all", F.lit(1))
-    for k, (by, est) in enumerate(zip((both, ["g_lang"], ["g_all"]), levels)):
-        e = est.select(*[F.col(b).alias(f"_{b}") for b in by], F.when(F.col("n") >= (least_rows if k < 2 else 1), F.struct(*cells)).alias(f"e{k}"))
-        groups = groups.join(e, _same(by), "left").drop(*[f"_{b}" for b in by])
-    chosen = saved(groups.select(*both, F.coalesce("e0", "e1", "e2").alias("e")).select(*both, "e.*"), f"{folder}/chosen")
-    few = chosen.count() <= BROADCAST_ROWS
-    ok = _with_distance(rows, chosen, both, few)
+    chosen = saved(groups.select(*both, F.coalesce("e2", "e1", "e0").alias("e")).select(*both, "e.*"), f"{folder}/chosen")
+    ok = _with_distance(rows, chosen, both, chosen.count() <= BROADCAST_ROWS)
     d2 = F.when(~F.col("base_failed"), F.col("d2"))
     kept = ~F.col("base_failed") & F.coalesce(d2 <= cutoff, F.lit(False))
     return ok.select(*[F.col(f"k_{i}").alias(c) for i, c in enumerate(keep)], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), d2.alias("distance"))
