@@ -62,6 +62,24 @@ def small_batches(spark: SparkSession, rows: int = 1024) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+#: Holds the columns that an operator passes through, so that none can clash with its own.
+ROW = "__row"
+
+
+def packed(docs: DataFrame, **need: str | None) -> DataFrame:
+    """``need`` maps an operator's own names to columns of ``docs`` (None: null text); all other columns ride in one struct."""
+    rest = [c for c in docs.columns if c not in need.values()]
+    row = F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.lit(True)
+    return docs.select(row.alias(ROW), *[(F.col(f"`{c}`") if c else F.lit(None).cast("string")).alias(k) for k, c in need.items()])
+
+
+def unpacked(df: DataFrame, columns: list[str], need: dict[str, str | None], **new) -> DataFrame:
+    """The columns of the packed table again, in their order, and ``new`` ones; a new one replaces its namesake."""
+    own = {c: k for k, c in need.items()}
+    old = [(new[c] if c in new else F.col(own[c]) if c in own else F.col(f"{ROW}.`{c}`")).alias(c) for c in columns]
+    return df.select(*old, *[v.alias(k) for k, v in new.items() if k not in columns])
+
+
 def arrow_fn(f, kind: str):
     """An Arrow function that the optimiser neither repeats nor moves, as it would a cheap one."""
     return F.arrow_udf(f, kind).asNondeterministic()

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_fn, small_batches
+from .common import arrow_fn, packed, small_batches, unpacked
 
 _WORD_BYTES = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 _WORD = re.compile(rb"[^ ]+")
@@ -198,8 +198,9 @@ def marked(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: s
 
         return arrow_fn(find, kind)
 
-    parts = [finder(g)(F.col(text)) for g in _loaded(benchmark, item_id, item_text, window, block_words, most_words) or [[]]]
-    out = docs.withColumns({f"_f{k}": p for k, p in enumerate(parts)})
+    parts = [finder(g)(F.col("_text")) for g in _loaded(benchmark, item_id, item_text, window, block_words, most_words) or [[]]]
+    need = {"_text": text}
+    out = packed(docs, **need).withColumns({f"_f{k}": p for k, p in enumerate(parts)})
     names = [f"_f{k}" for k in range(len(parts))]
 
     def spans(fs: list[pa.Array], t: pa.Array) -> pa.Array:
@@ -218,7 +219,8 @@ def marked(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: s
         return pa.array(res, pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("longest", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("words", pa.int64())])))]))
 
     merge = arrow_fn(_last_first(spans, len(names)), "n_words long, n_hit long, longest long, items array<string>, spans array<struct<start:long,end:long,words:long>>")
-    return out.withColumn("found", merge(*[F.col(n) for n in names], F.col(text))).drop(*names)
+    out = out.withColumn("_found", merge(*[F.col(n) for n in names], F.col("_text")))
+    return unpacked(out, docs.columns, need, found=F.col("_found"))
 
 
 def _last_first(f, n: int):
@@ -248,7 +250,8 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, text: str = "text", least_wor
     Spans shorter than ``least_words`` (whole items of fewer words) are cut too where
     they make up over half of the coverage limit.
     """
-    out = marked(docs, benchmark, text, **how)
+    need = {"_text": text}
+    out = marked(packed(docs, **need), benchmark, "_text", **how)
 
     def cut(t: pa.Array, f: pa.Array) -> pa.Array:
         res = []
@@ -264,7 +267,8 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, text: str = "text", least_wor
         return pa.array(res, pa.string())
 
     out = out.filter(F.col("found.n_hit") <= coverage * F.col("found.n_words"))
-    return out.withColumn(text, arrow_fn(cut, "string")(F.col(text), F.col("found")))
+    out = out.withColumn("_text", arrow_fn(cut, "string")(F.col("_text"), F.col("found")))
+    return unpacked(out, docs.columns, need)
 
 
 def digests(docs: DataFrame, benchmark: DataFrame, id_: str = "doc_id") -> DataFrame:
@@ -277,4 +281,4 @@ def digests(docs: DataFrame, benchmark: DataFrame, id_: str = "doc_id") -> DataF
 def filtered(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Pipeline stage: test passages cut out, documents made up of them dropped."""
     out = cleaned(docs, benchmark)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_fn, BROADCAST_ROWS, saved, small_batches, text_buffer, work_dir
+from .common import BROADCAST_ROWS, arrow_fn, packed, saved, small_batches, text_buffer, unpacked, work_dir
 
 BUCKETS = 1 << 14
 UNKNOWN = "und"
@@ -122,16 +122,17 @@ def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang",
     langs = model["langs"]
     if not langs:
         none = {"lang_pred": F.lit(None).cast("string"), "posterior": F.lit(None).cast("double"), "has_text": F.lit(False), "kept": F.lit(False)}
-        return docs.withColumns(none)
+        return docs.withColumns(none)  # replaces namesakes
     every = [*langs, UNKNOWN]
-    col = lambda c: (F.col(c) if c else F.lit(None)).cast("string")
+    need = {"_t": text, "_d0": declared, "_h0": host, "_s0": suffix}
+    own = packed(docs, **need).withColumns({c: F.col(f"{c}0").cast("string") for c in ("_d", "_h", "_s")})
     shared = spark.sparkContext.broadcast(model)
-    scored = _scored(docs, text, shared, tempered)
+    scored = _scored(own, "_t", shared, tempered)
     ll = [F.get("_ll", F.lit(i)) for i in range(len(every))]
     unknown_prior = F.lit(float(np.log(1e-3)))
     soft = _softmax([x + (unknown_prior if i == len(langs) else F.lit(0.0)) for i, x in enumerate(ll)])
     evidence = (
-        _scored(docs.select(col(declared).alias("_d"), col(host).alias("_h"), col(suffix).alias("_s"), F.col(text).alias("_t")), "_t", shared, tempered)
+        _scored(own.select("_d", "_h", "_s", "_t"), "_t", shared, tempered)
         .filter(F.col("_ll").isNotNull()).select("_d", "_h", "_s", *[p.alias(f"p{i}") for i, p in enumerate(soft)])
         .groupBy("_d", "_h", "_s").agg(*[F.sum(f"p{i}").alias(f"p{i}") for i in range(len(every))])
     )
@@ -158,8 +159,7 @@ def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang",
     by_suffix = by_suffix.select(F.col("_s").alias("_s2"), F.array(*[f"s{i}" for i in range(n)]).alias("_sp"))
     small = lambda d: F.broadcast(d) if d.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else d
 
-    out = scored.withColumns({"_d": col(declared), "_h": col(host), "_s": col(suffix)})
-    out = out.join(F.broadcast(spoken), "_d", "left")
+    out = scored.join(F.broadcast(spoken), "_d", "left")
     right = small(by_host.withColumnsRenamed({"_h": "_h2", "_s": "_s3"}))
     out = out.join(right, (F.col("_h") == F.col("_h2")) & F.col("_s").eqNullSafe(F.col("_s3")), "left")
     if suffix:
@@ -169,11 +169,13 @@ def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang",
     post = [F.coalesce(ll[i], F.lit(0.0)) + heard(i) + F.log(prior(i)) for i in range(n)]
     out = out.withColumn("_p", F.array(*post))
     out = out.withColumn("_p", F.transform("_p", lambda x: F.exp(x - F.array_max("_p"))))
-    out = out.withColumn("posterior", F.array_max("_p") / F.aggregate("_p", F.lit(0.0), lambda a, x: a + x))
+    out = out.withColumn("_post", F.array_max("_p") / F.aggregate("_p", F.lit(0.0), lambda a, x: a + x))
     best = F.array_position("_p", F.array_max("_p")).cast("int")
-    out = out.withColumn("lang_pred", F.element_at(F.array(*[F.lit(x) for x in every]), best)).withColumn("has_text", F.col("_ll").isNotNull())
-    out = out.withColumn("kept", F.col("has_text") & (F.col("lang_pred") != UNKNOWN) & (F.col("posterior") >= least))
-    return out.select(*docs.columns, "lang_pred", "posterior", "has_text", "kept")
+    found = F.element_at(F.array(*[F.lit(x) for x in every]), best)
+    has = F.col("_ll").isNotNull()
+    kept = has & (found != UNKNOWN) & (F.col("_post") >= least)
+    need = {k: c for k, c in need.items() if c}
+    return unpacked(out, docs.columns, need, lang_pred=found, posterior=F.col("_post"), has_text=has, kept=kept)
 
 
 def page_evidence(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -188,5 +190,6 @@ def page_evidence(pages: DataFrame, url: str = "url", html: str = "html") -> Dat
 
 def filtered(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Pipeline stage: documents of a known language, with ``lang`` set to the language found."""
-    out = identify(docs)
-    return out.filter("kept").withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    need = {"doc_id": "doc_id", "text": "text", "lang": "lang", "source": "source"}
+    out = identify(packed(docs, **need)).filter("kept")
+    return unpacked(out, docs.columns, need, lang=F.col("lang_pred"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_fn, NO_ID, WHITE_BYTES, heavy_split_join, saved, small_batches, work_dir
+from .common import NO_ID, WHITE_BYTES, arrow_fn, heavy_split_join, packed, saved, small_batches, unpacked, work_dir
 
 
 def line_keys(text: str | None) -> list[bytes]:
@@ -114,8 +114,8 @@ def drops(docs: DataFrame, id_: str = "doc_id", text: str = "text", least: int =
     spark = docs.sparkSession
     small_batches(spark)
     folder = work_dir(spark, "lines")
-    spans = docs.select(F.col(id_).cast("long").alias("d")).filter("d is not null").approxQuantile("d", [k / batches for k in range(1, batches)], 0.01)
-    cuts = sorted({int(x) for x in spans})
+    ids = docs.select(F.col(id_).cast("long").alias("d")).filter("d is not null")
+    cuts = sorted({int(x) for x in ids.approxQuantile("d", [k / batches for k in range(1, batches)], 0.01)}) if batches > 1 else []
     lines = f"{folder}/keys"
     _keys_of(docs, id_, text, least, cuts).write.partitionBy("b").parquet(lines)
     schema = "h1 long, h2 long, doc long, b int"
@@ -149,8 +149,9 @@ def drops(docs: DataFrame, id_: str = "doc_id", text: str = "text", least: int =
 def rewritten(docs: DataFrame, id_: str = "doc_id", text: str = "text", least: int = 10, **how) -> DataFrame:
     """All columns of ``docs``, and ``new_text``, ``n_lines``, ``n_dropped``, ``kept_sha256``."""
     gone = drops(docs, id_, text, least, **how)
-    doc = F.coalesce(F.col(id_).cast("long"), F.lit(NO_ID))
-    left = docs.withColumn("_doc", doc).join(gone.withColumnRenamed("doc", "_doc").hint("shuffle_hash"), "_doc", "left").drop("_doc")
+    need = {"_text": text, "_id": id_}
+    left = packed(docs, **need).withColumn("_doc", F.coalesce(F.col("_id").cast("long"), F.lit(NO_ID)))
+    left = left.join(gone.withColumnRenamed("doc", "_doc").hint("shuffle_hash"), "_doc", "left")
 
     def keep(t: pa.Array, g: pa.Array) -> pa.Array:
         import xxhash
@@ -166,11 +167,14 @@ def rewritten(docs: DataFrame, id_: str = "doc_id", text: str = "text", least: i
             texts.append(new), n.append(len(lines)), lost.append(len(lines) - len(kept)), sha.append(hashlib.sha256(new.encode()).hexdigest())
         return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(lost, pa.int64()), pa.array(sha, pa.string())], ["new_text", "n_lines", "n_dropped", "kept_sha256"])
 
-    out = left.withColumn("_k", arrow_fn(keep, "new_text string, n_lines long, n_dropped long, kept_sha256 string")(F.col(text), F.col("gone")))
-    return out.select(*docs.columns, "_k.*")
+    out = left.withColumn("_k", arrow_fn(keep, "new_text string, n_lines long, n_dropped long, kept_sha256 string")(F.col("_text"), F.col("gone")))
+    return unpacked(out, docs.columns, need, **{c: F.col(f"_k.{c}") for c in ("new_text", "n_lines", "n_dropped", "kept_sha256")})
 
 
 def filtered(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Pipeline stage: documents without the lines they share with a smaller one; documents left without any text go."""
-    out = rewritten(docs).withColumn("text", F.col("new_text")).filter((F.col("n_dropped") == 0) | (F.length(F.trim("text")) > 0))
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    need = {"doc_id": "doc_id", "text": "text"}
+    out = rewritten(packed(docs, **need))
+    out = out.filter((F.col("n_dropped") == 0) | (F.length(F.trim("new_text")) > 0))
+    new = F.when(F.col("n_dropped") == 0, F.col("text")).otherwise(F.col("new_text"))
+    return unpacked(out, docs.columns, need, text=new, **({"n_chars": F.length(new).cast("long")} if "n_chars" in docs.columns else {}))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import heavy_split_join, mixed, saved, small_batches, word_hashes, words, work_dir
+from .common import heavy_split_join, mixed, packed, saved, small_batches, unpacked, word_hashes, words, work_dir
 from .components import components
 
 BANDS, ROWS = 32, 6
@@ -271,9 +271,11 @@ def _batch(links: list[tuple[int, int]]):
 
 def marked(docs: DataFrame, id_: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """All columns of ``docs``, and component_id, kept, n_shingles."""
-    found = duplicates(docs, id_, text, **how).select(F.col("doc").alias("_doc"), F.col("component").alias("component_id"), "n_shingles")
-    out = docs.join(found.hint("shuffle_hash"), F.col(id_).cast("long") == F.col("_doc"), "left").drop("_doc")
-    return out.withColumn("kept", F.coalesce(F.col(id_).cast("long") == F.col("component_id"), F.lit(True)))
+    found = duplicates(docs, id_, text, **how).select(F.col("doc").alias("_doc"), "component", "n_shingles")
+    need = {"_id": id_}
+    out = packed(docs, **need).join(found.hint("shuffle_hash"), F.col("_id").cast("long") == F.col("_doc"), "left")
+    kept = F.coalesce(F.col("_id").cast("long") == F.col("component"), F.lit(True))
+    return unpacked(out, docs.columns, need, component_id=F.col("component"), kept=kept, n_shingles=F.coalesce("n_shingles", F.lit(0).cast("long")))
 
 
 def digests(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
@@ -284,4 +286,5 @@ def digests(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFra
 
 def filtered(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Pipeline stage: one document of each component, the one of smallest id."""
-    return marked(docs).filter("kept").select(*docs.columns)
+    need = {"doc_id": "doc_id", "text": "text"}
+    return unpacked(marked(packed(docs, **need)).filter("kept"), docs.columns, need)
