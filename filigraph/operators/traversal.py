@@ -204,3 +204,48 @@ def ranked_components(components: DataFrame) -> DataFrame:
     """(component, n, rank) by size descending, smaller label first."""
     n = components.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     return n.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "component")))
+
+
+def scored_walks(g: Graph, start: DataFrame, scores: DataFrame, steps: int, seed: int = 7) -> DataFrame:
+    """(walk, step, id): rejection-free walks whose next vertex is drawn in proportion to ``scores(id, s)`` of the neighbours.
+
+    Without a positive score among them the draw is uniform; sinks return to the
+    start.  The draw is one weighted hash minimum over the out-edges (exponential
+    race), so no neighbour list is collected.
+    """
+    folder = work_dir(g.edges.sparkSession, "scored")
+    e = saved(g.edges.join(scores.select(F.col("id").alias("dst"), "s"), "dst", "left").select("src", "dst", F.coalesce("s", F.lit(0.0)).alias("s")), f"{folder}/e")
+    top = e.groupBy("src").agg(F.max("s").alias("top"))
+    e = saved(e.join(top, "src").select("src", "dst", F.when(F.col("top") > 0, F.col("s")).otherwise(1.0).alias("s")).filter("s > 0"), f"{folder}/w")
+    now = saved(start.select(F.col("id").cast("long").alias("walk"), F.col("id").cast("long").alias("id")), f"{folder}/0")
+    out = now.withColumn("step", F.lit(0))
+    for k in range(1, steps + 1):
+        u = F.greatest(F.shiftrightunsigned(F.xxhash64("walk", "dst", F.lit(k), F.lit(seed)), 11) / float(1 << 53), F.lit(1e-300))
+        race = now.join(e, F.col("id") == F.col("src")).withColumn("x", -F.log(u) / F.col("s"))
+        step = race.groupBy("walk").agg(F.min_by("dst", F.struct("x", "dst")).alias("to"))
+        now = saved(now.select("walk").join(step, "walk", "left").select("walk", F.coalesce("to", "walk").alias("id")), f"{folder}/{k}")
+        out = out.unionByName(now.withColumn("step", F.lit(k)))
+    return out.select("walk", "step", "id")
+
+
+def uniform_sample(g: Graph, n: int, seed: int = 7) -> DataFrame:
+    """n vertices drawn uniformly with replacement (ids are numbered first)."""
+    from ..graph import numbered
+
+    ids = numbered(g.vertices, [F.col("id")], "k")
+    total = g.vertices.count()
+    draws = g.edges.sparkSession.range(1, n + 1).select(F.col("id").alias("draw"), (F.floor(F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 11) / float(1 << 53) * total) + 1).cast("long").alias("k"))
+    return draws.join(ids, "k").select("draw", "id")
+
+
+def approximate_diameter(g: Graph) -> int:
+    """Longest of three breadth-first sweeps of the undirected projection, each from the last one's farthest vertex."""
+    u = g.undirected().kept("diameter")
+    at = u.out_degrees().orderBy(F.desc("out_degree"), "id").select("id").first()
+    if at is None:
+        return 0
+    longest, v = 0, at.id
+    for _ in range(3):
+        far = bfs_levels(u, g.edges.sparkSession.createDataFrame([(v,)], "id long")).orderBy(F.desc("level"), "id").first()
+        longest, v = max(longest, far.level), far.id
+    return longest

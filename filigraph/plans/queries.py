@@ -428,6 +428,52 @@ def discovered_paths(spark, d):
     return traversal.greedy_paths(g, s.select("id", "product").cache(), a, b, k=2).select("rank", F.concat_ws(",", F.transform("path", lambda x: x.cast("string"))).alias("path"))
 
 
+@query("path_queries")
+def path_queries(spark, d):
+    """Three path queries at once, by decayed scores."""
+    from ..operators import paths
+
+    g = us(spark, d).kept()
+    a, b = g.vertices.agg(F.min("id"), F.max("id")).first()
+    pairs = [(a, b), (b, a), (a, a)]
+    scores = None
+    for q, (s, t) in enumerate(pairs[:2]):
+        x = ranking.path_scores(g, s, t, epsilon=0, max_iter=5).select(F.lit(q).cast("long").alias("query"), "id", "product")
+        scores = x if scores is None else scores.unionByName(x)
+    out = paths.discover(g, scores, pairs, k=3)
+    return out.select("query", "rank", F.concat_ws(",", F.transform("path", lambda x: x.cast("string"))).alias("path"))
+
+
+@query("scored_walks")
+def scored_walks(spark, d):
+    g = us(spark, d).kept()
+    return traversal.scored_walks(g, g.vertices, g.in_degrees().select("id", F.col("in_degree").cast("double").alias("s")), 3)
+
+
+@query("simulations")
+def simulations(spark, d):
+    from .. import simulation
+
+    return simulation.run(simulation.sweep(spark, 8, n=40, steps=10))
+
+
+@query("simulation_classes")
+def simulation_classes(spark, d):
+    from .. import simulation
+
+    return simulation.classes(simulation.run(simulation.sweep(spark, 8, n=40, steps=10)))
+
+
+@query("multigrid_solution")
+def multigrid_solution(spark, d):
+    from ..operators import multigrid
+
+    g = nt(spark, d).kept()
+    levels = multigrid.setup(multigrid.laplacian(g, 1.0), max_levels=2, min_coarse=5)
+    b = g.vertices.select("id", (F.col("id") % 3).cast("double").alias("x"))
+    return multigrid.v_cycle(levels, b, b.select("id", F.lit(0.0).alias("x"))).select("id", r6("x"))
+
+
 @query("random_walks")
 def random_walks(spark, d):
     g = us(spark, d).kept()
