@@ -3,7 +3,7 @@
 The distinct words (matches of the pattern) of all texts are encoded by Spark
 higher-order functions: ``aggregate`` folds ranked merges over the array of a
 word's bytes, each step merging the leftmost neighbours of lowest rank, which a
-literal map gives.  (A Spark map literal is searched linearly, so the literal is an
+literal map gives (a word that is in the vocabulary is one token at once).  (A Spark map literal is searched linearly, so the literal is an
 array of small maps, addressed by crc32.)  Words of over ``FOLD_BYTES`` bytes, for
 which a fold is quadratic, are merged with a heap instead.
 
@@ -27,6 +27,7 @@ import functools
 import hashlib
 import heapq
 import json
+import re
 import zlib
 
 import numpy as np
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_fn, BPE_PATTERN, BPE_RARE, map_file, put_file, small_batches, work_dir
+from .common import BPE_FAST, BPE_PATTERN, BPE_RARE, arrow_fn, map_file, put_file, small_batches, work_dir
 
 BUCKETS = 1 << 15
 FOLD_BYTES = 256
@@ -63,21 +64,31 @@ def fold(word: Column, table: Column) -> Column:
     def over(h: Column) -> Column:
         n = (F.length(h) / 2).cast("int")
         pieces = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(h, i * 2 - 1, F.lit(2)))
-        start = F.struct(pieces.alias("p"), F.lit(False).alias("end"))
+        near = F.transform(F.sequence(F.lit(1), n - 1), lambda i: rank(F.substring(h, i * 2 - 1, F.lit(4))))
+        # the pieces, the ranks of neighbours, and the least of them; a merge changes two ranks only
+        start = F.transform(F.array(near), lambda r: F.struct(pieces.alias("p"), r.alias("r"), F.array_min(r).alias("least")))[0]
 
         def step(acc: Column, _) -> Column:
-            p = acc["p"]
-            near = F.transform(F.slice(p, F.lit(1), F.size(p) - 1), lambda x, i: rank(F.concat(x, F.get(p, i + 1))))
+            p, r = acc["p"], acc["r"]
 
-            def merge(r: Column) -> Column:
-                at = F.array_position(r, F.array_min(r)).cast("int")
-                whole = F.concat(F.slice(p, F.lit(1), at - 1), F.array(F.concat(F.get(p, at - 1), F.get(p, at))), F.slice(p, at + 2, F.size(p)))
-                none = F.struct(p.alias("p"), F.lit(True).alias("end"))
-                return F.when(F.array_min(r).isNull(), none).otherwise(F.struct(whole.alias("p"), F.lit(False).alias("end")))
+            def merge(at: Column) -> Column:
+                whole = F.concat(F.get(p, at - 1), F.get(p, at))
 
-            return F.when(acc["end"] | (F.size(p) < 2), acc).otherwise(F.transform(F.array(near), merge)[0])
+                def merged_(w: Column) -> Column:
+                    none = F.array().cast("array<int>")
+                    left = F.when(at > 1, F.array(rank(F.concat(F.get(p, at - 2), w)))).otherwise(none)
+                    right = F.when(at < F.size(r), F.array(rank(F.concat(w, F.get(p, at + 1))))).otherwise(none)
+                    ranks_ = F.concat(F.slice(r, F.lit(1), F.greatest(at - 2, F.lit(0))), left, right, F.slice(r, at + 2, F.size(r)))
+                    pieces_ = F.concat(F.slice(p, F.lit(1), at - 1), F.array(w), F.slice(p, at + 2, F.size(p)))
+                    return F.transform(F.array(ranks_), lambda x: F.struct(pieces_.alias("p"), x.alias("r"), F.array_min(x).alias("least")))[0]
 
-        return F.transform(F.aggregate(F.sequence(F.lit(1), n), start, step)["p"], rank)
+                return F.transform(F.array(whole), merged_)[0]
+
+            return F.when(acc["least"].isNull(), acc).otherwise(F.transform(F.array(F.array_position(r, acc["least"]).cast("int")), merge)[0])
+
+        single = F.transform(F.array(rank(h)), lambda x: F.when(x.isNotNull(), F.array(x)))[0]
+        steps = F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
+        return F.when(n < 2, F.array(rank(h))).otherwise(F.coalesce(single, F.transform(F.aggregate(steps, start, step)["p"], rank)))
 
     return F.transform(F.array(code), over)[0]
 
@@ -111,9 +122,7 @@ def merged(word: bytes, rank: dict[bytes, int]) -> list[int]:
 
 @functools.lru_cache(1)
 def _cutters():
-    import regex
-
-    return regex.compile(BPE_PATTERN).findall, regex.compile(BPE_RARE).search
+    return re.compile(BPE_FAST).findall, re.compile(BPE_RARE).search
 
 
 @functools.lru_cache(2)
@@ -249,39 +258,37 @@ def dictionary(docs: DataFrame, path: str, text: str = "text", shards: int | Non
     return Dictionary(folder, shards, [r.s for r in made])
 
 
-def _assembled(column: pa.Array, words: Dictionary, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all texts in a row, and the texts' offsets."""
-    find, rare = _cutters()
-    local: dict[str, int] = {}
-    texts = column.to_pylist()
-    index, ends, whole = [], [], {}
-    for k, t in enumerate(texts):
-        if t and rare(t):
-            whole[k] = _library(path).encode_ordinary(t)
-        elif t:
-            index.append(np.array([local.setdefault(p, len(local)) for p in find(t)], np.int64))
-            ends.append((k, len(index[-1])))
-    sizes = np.zeros(len(texts), np.int64)
-    for k, ids in whole.items():
-        sizes[k] = len(ids)
-    if index:
-        ids, at = words.ids(list(local))
-        tokens = np.concatenate(index)
-        n = np.diff(at)[tokens]
-        flat = _ranges(ids, at[tokens], n)
-        per = np.add.reduceat(n, np.concatenate([[0], np.cumsum([c for _, c in ends])[:-1]]))
-        sizes[[k for k, _ in ends]] = per
-    else:
-        flat = np.zeros(0, np.uint32)
-    offsets = np.concatenate([[0], np.cumsum(sizes)])
-    if not whole:
-        return flat, offsets
-    out, plain = np.empty(offsets[-1], np.uint32), np.ones(len(texts), bool)
-    for k, ids in whole.items():
-        out[offsets[k] : offsets[k + 1]] = ids
-        plain[k] = False
-    out[np.repeat(plain, sizes)] = flat
-    return out, offsets
+MEMO = 300_000
+
+
+class Assembler:
+    """A worker's own memo of words' ids (as bytes), filled from the dictionary batch by batch and bounded."""
+
+    def __init__(self, words: Dictionary, path: str):
+        self.words, self.path, self.memo = words, path, {}
+
+    def batch(self, column: pa.Array) -> list[bytes]:
+        """The ids of each text, as little-endian unsigned 32-bit integers."""
+        find, rare = _cutters()
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        out, seen = [], set()
+        for t in column.to_pylist():
+            if not t:
+                out.append(b"")
+            elif rare(t):
+                out.append(np.array(_library(self.path).encode_ordinary(t), "<u4").tobytes())
+            else:
+                pieces = find(t)
+                seen.update(pieces)
+                out.append(pieces)
+        new = [w for w in seen if w not in self.memo]
+        if new:
+            ids, at = self.words.ids(new)
+            raw, at = ids.astype("<u4").tobytes(), (at * 4).tolist()
+            self.memo.update(zip(new, [raw[i:j] for i, j in zip(at, at[1:])]))
+        of = self.memo.__getitem__
+        return [x if isinstance(x, bytes) else b"".join(map(of, x)) for x in out]
 
 
 def encoded(docs: DataFrame, path: str, text: str = "text", words: Dictionary | None = None) -> DataFrame:
@@ -289,8 +296,9 @@ def encoded(docs: DataFrame, path: str, text: str = "text", words: Dictionary |
     words = words or dictionary(docs, path, text)
 
     def run(t: pa.Array) -> pa.Array:
-        ids, at = _assembled(t, words, path)
-        return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))
+        raw = Assembler(words, path).batch(t)
+        at = np.concatenate([[0], np.cumsum([len(x) // 4 for x in raw])])
+        return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(np.frombuffer(b"".join(raw), "<i4")))
 
     return docs.withColumn("ids", arrow_fn(run, "array<int>")(F.col(text)))
 
@@ -312,13 +320,12 @@ def digests(docs: DataFrame, path: str, id_: str = "doc_id", text: str = "text")
     def run(batches):
         pieces = {r: b for b, r in ranks(path).items()}
         piece = [pieces.get(i, b"") for i in range(max(pieces) + 1)].__getitem__
+        assembler = Assembler(words, path)
         for b in batches:
-            ids, at = _assembled(b.column(1), words, path)
-            raw, row = ids.astype("<u4").tobytes(), ids.tolist()
-            cut = list(zip(at[:-1].tolist(), at[1:].tolist()))
-            sha = [hashlib.sha256(raw[4 * i : 4 * j]).hexdigest() for i, j in cut]
-            back = [hashlib.sha256(b"".join(map(piece, row[i:j]))).hexdigest() for i, j in cut]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(at)), pa.array(sha, pa.string()), pa.array(back, pa.string())], ["i", "n_tokens", "ids_sha256", "decoded_sha256"])
+            raw = assembler.batch(b.column(1))
+            sha = [hashlib.sha256(x).hexdigest() for x in raw]
+            back = [hashlib.sha256(b"".join(map(piece, np.frombuffer(x, "<u4").tolist()))).hexdigest() for x in raw]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())], ["i", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[id_].dataType.simpleString()
     out = docs.select(F.col(id_).alias("i"), F.col(text)).mapInArrow(run, f"i {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

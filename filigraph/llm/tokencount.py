@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BPE_PATTERN, BPE_RARE, small_batches
+from .common import BPE_FAST, BPE_PATTERN, BPE_RARE, small_batches
 
 MEMO = 100_000
 
@@ -56,8 +56,7 @@ def prove(path: str) -> frozenset[str]:
 def _counter(path: str):
     """The worker's own counting function."""
     import os
-
-    import regex
+    import re
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -65,7 +64,7 @@ def _counter(path: str):
     t = Tokenizer.from_file(path)
     singles = _PROVEN.get(path) or prove(path)
     chars = str.maketrans({chr(b): c for b, c in _byte_chars().items()})
-    cut, rare = regex.compile(BPE_PATTERN).findall, regex.compile(BPE_RARE).search
+    cut, rare = re.compile(BPE_FAST).findall, re.compile(BPE_RARE).search
     special = [a.content for a in t.get_added_tokens_decoder().values()]
     model = t.model
 

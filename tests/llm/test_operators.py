@@ -144,7 +144,11 @@ def test_pattern_engines_agree_on_all_common_characters():
     ranks = bpe.ranks(vocabulary("byte_bpe_50k.tiktoken"))
     rare = regex.compile(bpe.BPE_RARE)
     own = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and not rare.match(chr(c))]
-    for p in (r"\p{L}", r"\p{N}", r"\s"):
+    from filigraph.llm import common
+
+    for p, own_class in ((r"\p{L}", common._LETTERS), (r"\p{N}", common._NUMBERS), (r"\s", common._SPACES)):
+        spelt = regex.compile(f"[{own_class}]")
+        assert all(bool(spelt.match(c)) == bool(regex.match(p, c)) for c in own)
         e, g = tiktoken.Encoding("x", pat_str=p, mergeable_ranks=ranks, special_tokens={}), regex.compile(p)
         assert all(bool(e.encode_ordinary(c)) == bool(g.match(c)) for c in own)
 
