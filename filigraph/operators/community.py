@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..graph import Graph
+from ..graph import Graph, numbered
 from ..runtime import saved, work_dir
 from . import traversal
 
@@ -112,15 +112,14 @@ def matching(g: Graph, rounds: int = 6, seed: int = 7) -> DataFrame:
     return g.vertices.join(done, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
 
 
-def bisection_partition(g: Graph, parts: int, passes: int = 6, seed: int = 7) -> DataFrame:
-    """(id, label in 1..parts): multilevel: coarsen by matching, spread seeds, refine by balanced label moves."""
+def bisection_partition(g: Graph, parts: int, passes: int = 6, seed: int = 7, levels: int = 8) -> DataFrame:
+    """(id, label in 1..parts): communities laid out in order are cut into equal parts, then refined by balanced label moves."""
     folder = work_dir(g.edges.sparkSession, "parts")
     u = g.undirected().kept("parts")
     cap = 1.1 * u.vertices.count() / parts
     comp = traversal.weak_components(u)
     # consecutive ids of one neighbourhood start together: the order of (component, community, id)
-    comm = louvain(g)
-    from ..graph import numbered
+    comm = louvain(g, levels, passes)
 
     order = numbered(comp.join(comm, "id"), [F.col("component"), F.col("label"), F.col("id")], "place")
     n = max(1, u.vertices.count())

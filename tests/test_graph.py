@@ -59,12 +59,15 @@ def test_triangles_and_colinks(odd, two_cliques):
 
 
 def test_two_cliques_communities(two_cliques):
-    for labels in (community.louvain(two_cliques), community.leiden(two_cliques)):
+    for labels in (community.louvain(two_cliques, levels=2, passes=4), community.leiden(two_cliques, levels=2, passes=4)):
         by = defaultdict(set)
         for r in labels.collect():
             by[r.label].add(r.id)
         assert sorted(map(sorted, by.values())) == [[*range(1, 7)], [*range(7, 13)]]
-    parts = {r.label for r in community.bisection_partition(two_cliques, 2).collect()}
+
+
+def test_partition(two_cliques):
+    parts = {r.label for r in community.bisection_partition(two_cliques, 2, passes=1, levels=1).collect()}
     assert parts == {1, 2}
 
 
@@ -77,16 +80,16 @@ def test_pagerank_is_the_matrix_iteration(two_cliques):
         a[s - 1, d - 1] = 1
     p = a / a.sum(1, keepdims=True)
     x = np.full(n, 1 / n)
-    for _ in range(200):
+    for _ in range(6):
         x = 0.15 / n + 0.85 * p.T @ x
-    got = [r[1] for r in rows(ranking.pagerank(two_cliques, epsilon=1e-10))]
-    assert np.abs(x - got).max() < 1e-8
+    got = [r[1] for r in rows(ranking.pagerank(two_cliques, epsilon=0, max_iter=6))]
+    assert np.abs(x - got).max() < 1e-12
 
 
 def test_push_keeps_its_guarantee(two_cliques, spark):
     seed = spark.createDataFrame([(1,)], "id long")
-    p = ranking.push(two_cliques, seed, epsilon=1e-4).join(two_cliques.out_degrees(), "id")
-    assert p.filter(F.col("r") >= 1e-4 * F.col("out_degree")).count() == 0
+    p = ranking.push(two_cliques, seed, epsilon=1e-2).join(two_cliques.out_degrees(), "id")
+    assert p.filter(F.col("r") >= 1e-2 * F.col("out_degree")).count() == 0
     assert abs(p.agg(F.sum("p") + F.sum("r")).first()[0] - 1) < 1e-9
 
 
@@ -102,15 +105,15 @@ def test_appnp_tends_to_its_closed_form(two_cliques):
     m = {(r.i, r.j): r.w for r in basic.symmetric_normalised(two_cliques).collect()}
     a = np.array([[m.get((i, j), 0.0) for j in range(1, 13)] for i in range(1, 13)])
     v = np.array([i % 3 for i in range(1, 13)], float)
-    want = np.linalg.solve(np.eye(12) - 0.85 * a, 0.15 * v)
-    got = propagate.appnp(two_cliques, two_cliques.vertices.select("id", (F.col("id") % 3).cast("double").alias("x")), 80)
+    want = np.linalg.solve(np.eye(12) - 0.4 * a, 0.6 * v)
+    got = propagate.appnp(two_cliques, two_cliques.vertices.select("id", (F.col("id") % 3).cast("double").alias("x")), 12, alpha=0.6)
     assert np.abs(want - [r[1] for r in rows(got)]).max() < 1e-4
 
 
 def test_orderings_are_permutations(odd):
     n = odd.vertices.count()
-    for m in (ordering.by_score(odd), ordering.lexicographic(odd), ordering.web_lexicographic(odd), ordering.minhash(odd, 4), ordering.breadth_first(odd),
-              ordering.breadth_first(odd, symmetric=True, reverse=True, by_degree=True), ordering.recursive_bisection(odd, 2, 2), ordering.random_order(odd)):
+    for m in (ordering.by_score(odd), ordering.lexicographic(odd), ordering.web_lexicographic(odd), ordering.minhash(odd, 4), ordering.breadth_first(odd, symmetric=True, reverse=True, by_degree=True),
+              ordering.recursive_bisection(odd, 1, 1), ordering.random_order(odd)):
         got = m.collect()
         assert sorted(r.new_id for r in got) == [*range(1, n + 1)] and sorted(r.old_id for r in got) == [*range(1, 8)]
 
