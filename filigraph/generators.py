@@ -70,7 +70,7 @@ def blocks(spark: SparkSession, sizes: list[int], p_in: float, p_out: float, see
         label = F.when(F.col("id") <= at, i).otherwise(label)
     v = _vertices(spark, n)
     lab = v.select("id", label.cast("long").alias("label"))
-    pair = v.select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(1), F.lit(n))).cast("long").alias("dst")).filter("src <> dst")
+    pair = v.select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n).cast("long"))).alias("dst")).filter("src <> dst")
     x = pair.join(F.broadcast(lab.toDF("src", "a")), "src").join(F.broadcast(lab.toDF("dst", "b")), "dst")
     return Graph(x.filter(unit(F.lit(seed), "src", "dst") < F.when(F.col("a") == F.col("b"), p_in).otherwise(p_out)).select("src", "dst"), v), lab
 
@@ -103,5 +103,5 @@ def ring(spark: SparkSession, n: int) -> Graph:
 
 def clique(spark: SparkSession, n: int) -> Graph:
     v = _vertices(spark, n)
-    e = v.select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(1), F.lit(n))).cast("long").alias("dst"))
+    e = v.select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n).cast("long"))).alias("dst"))
     return Graph(e.filter("src <> dst"), v)
