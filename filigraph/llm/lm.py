@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, map_file, put_file, small_batches, word_hashes, words, work_dir
+from .common import crc_of_id, map_file, mixed, put_file, small_batches, words, work_dir
 from .eliasfano import EliasFano
 
 END = np.uint64(0xE5D0C0FFEE123457)
@@ -50,15 +50,19 @@ def _shard(h: np.ndarray, shards: int) -> np.ndarray:
 
 def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct token hashes, each token's index into them, and text offsets; every text ends with END."""
+    import xxhash
+
     flat, at = words(column)
-    h = word_hashes(flat)
+    d = flat.dictionary_encode()
+    values = d.dictionary.to_pylist()
+    h = np.fromiter((xxhash.xxh3_64_intdigest(v) for v in values), np.uint64, len(values))
+    one, place = np.unique(np.append(h, END), return_inverse=True)  # sorts distinct words only
     docs = len(at) - 1
     ends = at[1:] + np.arange(docs)
-    full = np.empty(len(h) + docs, np.uint64)
-    is_word = np.ones(len(full), bool)
+    is_word = np.ones(len(flat) + docs, bool)
     is_word[ends] = False
-    full[is_word], full[ends] = h, END
-    one, index = np.unique(full, return_inverse=True)
+    index = np.full(len(is_word), place[-1], np.int64)
+    index[is_word] = place[np.asarray(d.indices)]
     return one, index, np.concatenate([[0], ends + 1])
 
 
@@ -80,7 +84,11 @@ class _Counter:
         a, n = np.concatenate([p[0] for p in self.parts]), np.concatenate([p[2] for p in self.parts])
         two = len(self.names) == 2
         b = np.concatenate([p[1] for p in self.parts]) if two else None
-        order = np.lexsort((b, a)) if two else np.argsort(a, kind="stable")
+        if two:  # by a hash of the pair: should two pairs share it, they may stay in parts, which Spark sums
+            with np.errstate(over="ignore"):
+                order = np.argsort(mixed(a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.view(np.uint64)))
+        else:
+            order = np.argsort(a)
         a, n = a[order], n[order]
         new = np.ones(len(a), bool)
         new[1:] = a[1:] != a[:-1]
@@ -143,8 +151,9 @@ class Model:
         """Places of n-grams (-1: not kept), their probabilities, and the contexts' back-off weights."""
         place, p, rest = np.full(len(context), -1, np.int64), np.zeros(len(context)), np.ones(len(context))
         known = np.flatnonzero(context >= 0)
-        order = known[np.argsort(context[known] >> LOCAL, kind="stable")]
-        cut = np.searchsorted(context[order] >> LOCAL, np.arange(self.shards + 1))
+        shard = (context[known] >> LOCAL).astype(np.int16 if self.shards < 1 << 15 else np.int64)
+        by = np.argsort(shard, kind="stable")  # a radix sort for short integers
+        order, cut = known[by], np.searchsorted(shard[by], np.arange(self.shards + 1))
         for s in range(self.shards):
             mine = order[cut[s] : cut[s + 1]]
             if not len(mine) or not self.sizes[level - 1][s]:
