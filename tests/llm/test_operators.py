@@ -280,6 +280,29 @@ def test_toxicity(spark, none, docs):
     assert toxicity.scored(docs, flat).select("score").distinct().count() == 1
 
 
+def test_toxicity_index_holds_all_terms(spark):
+    assert toxicity.word_terms("ab") == ["ab"] and toxicity.word_terms("x" * 30 + "a")[0] != toxicity.word_terms("x" * 30 + "b")[0]
+    assert "道中+" in toxicity.word_terms("街道中的") and toxicity.word_terms("\u9053")[-1] == "\u9053+"
+    r = np.random.default_rng(2)
+    vectors = [{int(t): float(w) for t, w in zip(r.choice(90, 9, p=np.arange(90) / 4005, replace=False), r.random(9))} for _ in range(150)]
+    pairs = [(np.array(list(v)), np.array(list(v.values()))) for v in vectors]
+    row = np.repeat(np.arange(150), 9)
+    for head in (0, 20, 512):
+        index = toxicity.ExactIndex(150, row, np.concatenate([t for t, _ in pairs]), np.concatenate([w for _, w in pairs]), 90, head)
+        for v, c in zip(vectors, index.cosines(pairs)):
+            got, want = index.best(c, 7), brute.nearest(vectors, v, 7)
+            assert np.allclose([s for s, _ in got], [s for s, _ in want])
+    # texts of ordinary words are compared with examples too
+    words = "alpha beta gamma delta omega sigma kappa theta".split()
+    rows = [(i, " ".join(words[(i * 3 + j) % 8] for j in range(4)) + (" vile" if i % 5 == 0 else "")) for i in range(200)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = texts.selectExpr("doc_id", "int(doc_id % 5 = 0) as toxic")
+    model = toxicity.fit(texts, labels)
+    assert set(model.places()) >= {toxicity.term_key(w) for w in [*words, "vile"]}
+    got = toxicity.scored(texts, model).join(labels, "doc_id").collect()
+    assert all(len(x.nearest) == model.k and x.predicted == x.toxic for x in got)
+
+
 # 10 -----------------------------------------------------------------------
 
 
