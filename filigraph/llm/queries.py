@@ -44,7 +44,7 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return lm.scored(docs, lm.train(docs))
+    return lm.scored(docs, lm.train(docs, least=(1, 1)))
 
 
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

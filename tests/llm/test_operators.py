@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from filigraph.llm import bpe, decontam, eliasfano, langid, linededup, lm, neardup, quality, tokencount, toxicity, warc
-from filigraph.llm.queries import vocabulary
+from filigraph.llm.queries import lm_scoring, vocabulary
 
 
 def by_id(df):
@@ -79,6 +79,14 @@ def test_elias_fano():
             assert (k >= 0 and v[k] == x) if x in v else k == -1
 
 
+def test_registered_language_model_keeps_all_ngrams(spark):
+    d = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
+    want = brute.language_model(rows, least=(1, 1))
+    got = by_id(lm_scoring(spark, d))
+    assert all(abs(got[i].score - w[4]) < 1e-3 * w[0] for (i, _), w in zip(rows, want))
+
+
 @pytest.mark.parametrize("least", [(2,), (1, 1), (2, 2, 2)])
 def test_language_model(docs, rows, least, spark):
     got = by_id(lm.scored(docs, lm.train(docs, least=least, shards=3)))
