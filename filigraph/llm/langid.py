@@ -50,18 +50,16 @@ def _trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return h[good], before[np.minimum(at, len(good))]
 
 
-def fit(docs: DataFrame, text: str, label: str, id_: str, per_language: int = 1500, max_languages: int = 64) -> dict:
+def fit(docs: DataFrame, text: str, label: str, id_: str, per_language: int = 1500) -> dict:
     """Trigram models: ``{"langs": [...], "ll": float32[BUCKETS, L + 1]}``; the last column is the unknown language."""
     known = docs.filter(F.col(label).isNotNull() & F.col(text).isNotNull())
-    sizes = {r[0]: r[1] for r in known.groupBy(label).count().orderBy(F.desc("count"), label).limit(max_languages).collect()}
+    sizes = {r[0]: r[1] for r in known.groupBy(label).count().collect()}  # every label: the model has a column for each
     langs = sorted(sizes)
     if not langs:
         return {"langs": [], "ll": np.zeros((BUCKETS, 1), np.float32)}
-    share = F.lit(0.0)
-    for k in langs:
-        share = F.when(F.col(label) == k, F.lit(min(1.0, 1.2 * per_language / sizes[k]))).otherwise(share)
+    rates = docs.sparkSession.createDataFrame([(k, min(1.0, 1.2 * per_language / n)) for k, n in sizes.items()], "_k string, _share double")
     unit = (F.shiftrightunsigned(F.xxhash64(F.col(id_)), 11).cast("double") / float(1 << 53))
-    sample = known.filter(unit < share).select(F.col(label).alias("l"), F.col(text).alias("t")).limit(2 * per_language * len(langs)).repartition(4)
+    sample = known.join(F.broadcast(rates), F.col(label) == F.col("_k")).filter(unit < F.col("_share")).select(F.col(label).alias("l"), F.col(text).alias("t")).limit(2 * per_language * len(langs)).repartition(4)
 
     def count(batches):
         total: dict[str, np.ndarray] = {}
@@ -142,12 +140,13 @@ def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang",
     total = np.array([float(x or 0) for x in sums().first()]) + 0.5
     base = total / total.sum()
 
-    # P(declared | language), for the values declared most often; others share one row
-    rows = sums("_d").filter("_d is not null").withColumn("_n", sum((F.col(f"p{i}") for i in range(1, n)), F.col("p0"))).orderBy(F.desc("_n"), "_d").limit(256).collect()
-    table = np.array([[r[f"p{i}"] for i in range(n)] for r in rows]).reshape(-1, n) + 0.5
-    said = np.log(table / (table.sum(0) + 0.5)) if len(rows) else table
-    other = np.log(0.5 / (table.sum(0) + 0.5)) if len(rows) else np.zeros(n)
-    spoken = spark.createDataFrame([(r["_d"], [float(x) for x in s]) for r, s in zip(rows, said)], "_d string, _dl array<double>")
+    # P(declared | language), for every value declared in a text with evidence; others share one row
+    rows = sums("_d").filter("_d is not null")
+    whole = rows.agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"p{i}").alias(f"p{i}") for i in range(n)]).first()
+    table = np.array([(whole[f"p{i}"] or 0.0) + 0.5 * whole["n"] + 0.5 for i in range(n)])
+    other = np.log(0.5 / table) if whole["n"] else np.zeros(n)
+    spoken = rows.select("_d", F.array(*[F.log((F.col(f"p{i}") + 0.5) / F.lit(float(table[i]))) for i in range(n)]).alias("_dl"))
+    spoken = saved(spoken, work_dir(spark, "declared"))
 
     # prior by suffix and by host, each smoothed towards the level above
     share = lambda i, w, parent: (F.coalesce(F.col(f"p{i}"), F.lit(0.0)) + w * parent) / (F.col("_n") + w)
@@ -159,7 +158,7 @@ def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang",
     by_suffix = by_suffix.select(F.col("_s").alias("_s2"), F.array(*[f"s{i}" for i in range(n)]).alias("_sp"))
     small = lambda d: F.broadcast(d) if d.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else d
 
-    out = scored.join(F.broadcast(spoken), "_d", "left")
+    out = scored.join(small(spoken), "_d", "left")
     right = small(by_host.withColumnsRenamed({"_h": "_h2", "_s": "_s3"}))
     out = out.join(right, (F.col("_h") == F.col("_h2")) & F.col("_s").eqNullSafe(F.col("_s3")), "left")
     if suffix:

@@ -31,6 +31,13 @@ def test_language_id(spark):
     assert langid.identify(lies, model=model, declared=None).filter("lang_pred = 'fr'").count() >= 0.9 * docs.filter("lang = 'fr'").count()
 
 
+def test_language_models_of_every_label(spark):
+    rows = [(i, f"word{chr(97 + i % 26)}{chr(97 + i % 70 // 26)} text", f"l{i % 70:02}") for i in range(210)]
+    many = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(many, "text", "lang", "doc_id")
+    assert model["langs"] == [f"l{k:02}" for k in range(70)] and model["ll"].shape[1] == 71
+
+
 def test_language_id_edges(docs, none, spark):
     assert langid.identify(none).count() == 0 and langid.filtered(spark, none).columns == none.columns
     got = by_id(langid.identify(docs))
