@@ -22,47 +22,62 @@ def _select_in(word: np.ndarray, k: np.ndarray) -> np.ndarray:
     return at * 8 + _SEL[parts[row, at], left]
 
 
+def packed_bits(values: np.ndarray, width: int) -> bytes:
+    """The lowest ``width`` bits of each value in a row, lowest bit first, and eight spare bytes."""
+    if not width:
+        return bytes(8)
+    raw = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)
+    out = [np.packbits(np.unpackbits(raw[k : k + (1 << 16)], axis=1, bitorder="little")[:, :width], bitorder="little").tobytes() for k in range(0, len(raw), 1 << 16)]
+    return b"".join(out) + bytes(8)
+
+
 class EliasFano:
-    """A non-decreasing sequence of integers below ``universe``: low parts of whole bytes, high parts in unary.
+    """A non-decreasing sequence of integers below ``universe``: low parts of ``width`` bits, high parts in unary.
 
-    Layout: int64 header (n, width, words); high words; ones before each word;
-    zeros before each word; low parts.
+    Layout: int64 header (n, width, words); high words; ones and zeros before each
+    word (32 bits each); low parts, bit-packed.  A sequence may have 2**31 members.
     """
 
     def __init__(self, raw: np.ndarray):
         self.n, self.width, m = (int(x) for x in raw[:24].view(np.int64))
         at = 24
         self.high = raw[at : (at := at + 8 * m)].view(np.uint64)
-        self.ones = raw[at : (at := at + 8 * m)].view(np.int64)
-        self.zeros = raw[at : (at := at + 8 * m)].view(np.int64)
-        self.low = raw[at : at + self.n * self.width // 8].view(f"u{self.width // 8}") if self.width else None
+        self.ones = raw[at : (at := at + 4 * m)].view(np.uint32)
+        self.zeros = raw[at : (at := at + 4 * m)].view(np.uint32)
+        low = raw[at:]
+        self.words = np.ndarray(len(low) - 7, "<u8", low.data, 0, (1,)) if self.width else None  # a word at every byte
+        self.mask = np.uint64((1 << self.width) - 1)
 
     @staticmethod
     def encode(values: np.ndarray, universe: int) -> bytes:
         n = len(values)
-        cost = {w: w * n + 3 * (n + (universe >> w)) for w in (0, 8, 16, 32)}
-        w = min(cost, key=cost.get)
+        w = min(56, max(0, int(universe // max(n, 1)).bit_length() - 1))
         v = values.astype(np.uint64)
         bits = n + (universe >> w) + 2
+        if bits >= 1 << 32:
+            raise ValueError("too long a sequence for its 32-bit directories")
         m = (bits + 63) // 64
         flags = np.zeros(m * 64, np.uint8)
         flags[(v >> np.uint64(w)).astype(np.int64) + np.arange(n)] = 1
         high = np.packbits(flags, bitorder="little").view(np.uint64)
         per = flags.reshape(-1, 64).sum(1, dtype=np.int64)
-        ones = np.concatenate([[0], np.cumsum(per)[:-1]]).astype(np.int64)
-        zeros = np.arange(m, dtype=np.int64) * 64 - ones
-        low = (v & np.uint64((1 << w) - 1)).astype(f"u{w // 8}").tobytes() if w else b""
-        return np.array([n, w, m], np.int64).tobytes() + high.tobytes() + ones.tobytes() + zeros.tobytes() + low
+        ones = np.concatenate([[0], np.cumsum(per)[:-1]]).astype(np.uint32)
+        zeros = (np.arange(m, dtype=np.int64) * 64 - ones).astype(np.uint32)
+        return np.array([n, w, m], np.int64).tobytes() + high.tobytes() + ones.tobytes() + zeros.tobytes() + packed_bits(v, w)
 
     def _select(self, directory: np.ndarray, k: np.ndarray, flip: bool) -> np.ndarray:
-        word = np.searchsorted(directory, k, "right") - 1
+        word = np.searchsorted(directory, k.astype(np.uint32), "right") - 1
         bits = self.high[word]
         return word * 64 + _select_in(~bits if flip else bits, k - directory[word])
 
+    def _low(self, i: np.ndarray) -> np.ndarray:
+        at = i * self.width
+        return (self.words[at >> 3] >> (at & 7).astype(np.uint64)) & self.mask
+
     def get(self, i: np.ndarray) -> np.ndarray:
         """The values at places ``i``."""
         top = (self._select(self.ones, i, False) - i).astype(np.int64)
-        return (top << self.width) | self.low[i].astype(np.int64) if self.width else top
+        return (top << self.width) | self._low(i).astype(np.int64) if self.width else top
 
     def find(self, x: np.ndarray) -> np.ndarray:
         """The place of each x, or -1: successor search among the values that share its high part."""
@@ -73,19 +88,19 @@ class EliasFano:
         start = np.where(h > 0, self._select(self.zeros, np.maximum(h, 1) - 1, True) - (h - 1), 0)
         if not self.width:
             return np.where(start < end, start, -1)
-        want = (x & ((1 << self.width) - 1)).astype(self.low.dtype)
+        want = x.astype(np.uint64) & self.mask
         out = np.full(len(x), -1, np.int64)
         live = np.flatnonzero(start < end)
         lo, hi, w = start[live], end[live], want[live]
         while len(live):
             mid = (lo + hi) >> 1
-            below = self.low[mid] < w
+            below = self._low(mid) < w
             lo, hi = np.where(below, mid + 1, lo), np.where(below, hi, mid)
             done = lo >= hi
             if done.any():
                 d, at = live[done], lo[done]
                 ok = at < end[d]
-                ok[ok] = self.low[at[ok]] == w[done][ok]
+                ok[ok] = self._low(at[ok]) == w[done][ok]
                 out[d[ok]] = at[ok]
                 live, lo, hi, w = live[~done], lo[~done], hi[~done], w[~done]
         return out

@@ -9,13 +9,20 @@ Levels are cut into shards by the hash of the first word; a shard is one file pe
 level in the shared folder, written by one task and memory-mapped by the scoring
 tasks.  Nothing of the model passes through the driver but its shards' sizes.
 
+Counting reads the texts twice: once for the words, once for the n-grams of the
+highest order, whose prefixes are those of all lower orders (an n-gram that the
+text's end cuts short is padded).  Tasks sum their own n-grams and send each
+shard one sorted, delta-coded, compressed block of columns, so that the only
+shuffle of n-grams takes a few bytes each; a shard's task merges its blocks and
+writes its part of every level.
+
 Probability: P1(w) = (c(w) + 1) / (N + V + 1), where unknown words have c = 0;
 P(w | h) = max(c(hw) - D, 0) / c(h) + g(h) P(w | h') over kept n-grams, where g(h) is
 the mass left by them.  Quantisation rounds down, so sums stay at most 1.  The
 context of a text's first word is the end token.
 
-The (k+1)-grams are counted only where both their k-grams were kept: an n-gram is
-never more frequent than its parts, so none is lost for which least does not fall.
+``least`` must not fall: then an n-gram is kept only where its prefix and its
+suffix are, as it is never more frequent than they are.
 
 Edge cases: a null or empty text is the end token alone; a null id has the crc32
 of the empty text; without training texts every word has base probability 1 / 1;
@@ -29,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, map_file, mixed, put_file, small_batches, words, work_dir
+from .common import crc_of_id, map_file, put_file, small_batches, words, work_dir
 from .eliasfano import EliasFano
 
 END = np.uint64(0xE5D0C0FFEE123457)
@@ -66,47 +73,146 @@ def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return one, index, np.concatenate([[0], ends + 1])
 
 
-class _Counter:
-    """Sums pairs of longs in sorted arrays; full ones are handed on."""
+class _Words:
+    """Sums the counts of word hashes in sorted arrays; full ones are handed on."""
 
-    def __init__(self, names: list[str], limit: int = 1 << 21):
-        self.names, self.limit, self.parts, self.size = names, limit, [], 0
+    def __init__(self, limit: int = 1 << 21):
+        self.limit, self.parts, self.size = limit, [], 0
 
-    def add(self, a: np.ndarray, b: np.ndarray | None = None):
-        self.parts.append((a, b if b is not None else np.zeros(0, np.int64), np.ones(len(a), np.int64)))
-        self.size += len(a)
+    def add(self, h: np.ndarray, n: np.ndarray):
+        self.parts.append((h, n))
+        self.size += len(h)
         if self.size > self.limit:
-            self._sum()
+            self.parts = [_summed(*(np.concatenate(x) for x in zip(*self.parts)))]
+            self.size = len(self.parts[0][0])
             if self.size > self.limit // 2:
                 yield from self.flush()
 
-    def _sum(self) -> None:
-        a, n = np.concatenate([p[0] for p in self.parts]), np.concatenate([p[2] for p in self.parts])
-        two = len(self.names) == 2
-        b = np.concatenate([p[1] for p in self.parts]) if two else None
-        if two:  # by a hash of the pair: should two pairs share it, they may stay in parts, which Spark sums
-            with np.errstate(over="ignore"):
-                order = np.argsort(mixed(a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.view(np.uint64)))
+    def flush(self):
+        if self.parts:
+            h, n = _summed(*(np.concatenate(x) for x in zip(*self.parts)))
+            self.parts, self.size = [], 0
+            for k in range(0, len(h), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(h[k : k + (1 << 16)].view(np.int64)), pa.array(n[k : k + (1 << 16)])], ["h", "n"])
+
+
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and the sums of their counts."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    start = _starts(keys)
+    return keys[start], np.add.reduceat(n[order], start) if len(start) else n
+
+
+def _starts(*sorted_columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin."""
+    new = np.zeros(len(sorted_columns[0]), bool)
+    new[:1] = True
+    for c in sorted_columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def _ordered(columns: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of columns of small non-negative integers in lexicographic order, and the sums of their counts."""
+    if not len(n):
+        return columns, n
+    bits = [max(1, int(c.max()).bit_length()) for c in columns]
+    if sum(bits) <= 63:  # rows fit in one integer each
+        key = columns[0].astype(np.int64)
+        for c, b in zip(columns[1:], bits[1:]):
+            key = key << b | c
+        if (n == 1).all():
+            key.sort()
+            start = _starts(key)
+            n = np.diff(np.append(start, len(key)))
+            key = key[start]
         else:
-            order = np.argsort(a)
-        a, n = a[order], n[order]
-        new = np.ones(len(a), bool)
-        new[1:] = a[1:] != a[:-1]
-        if two:
-            b = b[order]
-            new[1:] |= b[1:] != b[:-1]
+            key, n = _summed(key, n)
+        out = []
+        for b in bits[:0:-1]:
+            out.append(key & ((1 << b) - 1))
+            key = key >> b
+        return [key, *out[::-1]], n
+    order = np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
+    start = _starts(*columns)
+    return [c[start] for c in columns], np.add.reduceat(n[order], start)
+
+
+def _block(columns: list[np.ndarray], n: np.ndarray) -> bytes:
+    """Rows in lexicographic order: differences to the row before within equal prefixes, byte by byte, compressed."""
+    import zstandard
+
+    same = np.zeros(len(n), bool)
+    same[1:] = True
+    out = []
+    for c in columns:
+        before = np.concatenate([[0], c[:-1]])
+        out.append(np.where(same, c - before, c))
+        same &= c == before
+    out.append(n)
+    planes = b"".join(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes() for x in out)
+    return zstandard.ZstdCompressor(level=1).compress(planes)
+
+
+def _unblock(raw: bytes, columns: int) -> tuple[list[np.ndarray], np.ndarray]:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(columns + 1, 8, -1)
+    *parts, n = (np.ascontiguousarray(x.T).view("<i8").ravel() for x in planes)
+    out, new = [], np.zeros(len(n), bool)
+    new[:1] = True
+    for d in parts:  # sums of differences since the prefix last changed
+        total = np.cumsum(d)
         start = np.flatnonzero(new)
-        self.parts = [(a[start], b[start] if two else np.zeros(0, np.int64), np.add.reduceat(n, start) if len(start) else n)]
-        self.size = len(start)
+        run = np.cumsum(new) - 1
+        c = total - (total[start] - d[start])[run]
+        out.append(c)
+        new[1:] |= c[1:] != c[:-1]
+    return out, n
+
+
+class _Ngrams:
+    """Gathers the n-grams of texts; full sets are summed and handed on as one block for each shard."""
+
+    def __init__(self, model: Model, order: int, limit: int = 1 << 21):
+        self.model, self.order, self.limit, self.parts, self.size = model, order, limit, [], 0
+        self.end = int(model.dense(1, model.words(np.array([END]))[0])[0])
+
+    def add(self, column: pa.Array):
+        one, index, at = _tokens(column)
+        if len(at) > 1:
+            self.parts.append((self.model.dense(1, self.model.words(one)[0]), index, at))
+            self.size += len(index)
+        if self.size > self.limit:
+            yield from self.flush()
 
     def flush(self):
-        if self.size:
-            self._sum()
-            a, b, n = self.parts[0]
-            self.parts, self.size = [], 0
-            for k in range(0, len(a), 1 << 16):
-                s = slice(k, k + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(x[s].astype(np.int64)) for x in ((a, b, n) if len(self.names) == 2 else (a, n))], [*self.names, "n"])
+        if not self.size:
+            return
+        every = np.unique(np.concatenate([p[0] for p in self.parts] + [[self.end]]))
+        end, k = int(np.searchsorted(every, self.end)) + 1, self.order
+        row = []  # texts in a row with the end token before each and k zeros after it; others count from 1
+        for own, index, at in self.parts:
+            place = (np.searchsorted(every, own) + 1)[index]
+            docs, size = len(at) - 1, np.diff(at)
+            line = np.zeros(len(place) + docs * (k + 1), np.int64)
+            shift = np.arange(docs) * (k + 1)
+            line[at[:-1] + shift] = end
+            line[np.arange(len(place)) + np.repeat(shift + 1, size)] = place
+            row.append(line)
+        row.append(np.zeros(k, np.int64))
+        line, self.parts, self.size = np.concatenate(row), [], 0
+        ok = (line[: len(line) - k] > 0) & (line[1 : len(line) - k + 1] > 0)
+        columns, n = _ordered([line[j : len(line) - k + j][ok] for j in range(k)], np.ones(int(ok.sum()), np.int64))
+        dense = np.concatenate([[-1], every])
+        columns = [dense[c] for c in columns]
+        base = self.model.base[0]
+        cut = np.searchsorted(columns[0], base)
+        shards = [s for s in range(self.model.shards) if cut[s] < cut[s + 1]]
+        blocks = [_block([columns[0][cut[s] : cut[s + 1]] - base[s], *(c[cut[s] : cut[s + 1]] + 1 for c in columns[1:])], n[cut[s] : cut[s + 1]]) for s in shards]
+        yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), pa.array(blocks, pa.binary())], ["s", "block"])
 
 
 class Model:
@@ -148,18 +254,16 @@ class Model:
         return self.base[level - 1][place >> LOCAL] + (place & _MASK)
 
     def find(self, level: int, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places of n-grams (-1: not kept), their probabilities, and the contexts' back-off weights."""
+        """Places of n-grams (-1: not kept), their probabilities, and the contexts' back-off weights; contexts ascend, -1 first."""
         place, p, rest = np.full(len(context), -1, np.int64), np.zeros(len(context)), np.ones(len(context))
-        known = np.flatnonzero(context >= 0)
-        shard = (context[known] >> LOCAL).astype(np.int16 if self.shards < 1 << 15 else np.int64)
-        by = np.argsort(shard, kind="stable")  # a radix sort for short integers
-        order, cut = known[by], np.searchsorted(shard[by], np.arange(self.shards + 1))
-        for s in range(self.shards):
-            mine = order[cut[s] : cut[s + 1]]
-            if not len(mine) or not self.sizes[level - 1][s]:
+        cut = np.searchsorted(context, np.arange(self.shards + 1) << LOCAL)
+        for s in np.flatnonzero(np.diff(cut)):
+            if not self.sizes[level - 1][s]:
                 continue
+            mine = slice(cut[s], cut[s + 1])
             c = context[mine] & _MASK
             rest[mine] = _TABLE[self.file(level, s, "rest")[c]]
+            mine = np.arange(cut[s], cut[s + 1])
             seen = word[mine] >= 0
             mine, c = mine[seen], c[seen]
             at = self.file(level, s, "next").find(c * self.vocabulary + self.dense(1, word[mine]))
@@ -173,22 +277,34 @@ class Model:
         return place, p, rest
 
     def chain(self, column: pa.Array, upto: int):
-        """Token places, counts and offsets of texts, and for each level from 2 to ``upto`` what find() gives."""
+        """Token places, counts and offsets of texts, and for each level from 2 to ``upto`` what find() gives.
+
+        Each distinct n-gram of the texts is sought once, in the order of the shards.
+        """
         one, index, at = _tokens(column)
-        place, count = self.words(one)
-        place, count = place[index], count[index]
-        first = np.zeros(len(place), bool)
-        first[at[:-1]] = True
-        before = np.empty_like(place)
-        if len(place):
-            before[1:] = place[:-1]
-            before[first] = self.words(np.array([END]))[0][0]
-        found, context = [], before
+        own, counts = self.words(one)
+        place, count = own[index], counts[index]
+        first = at[:-1]
+        found = []
+        # the context of each token: an index into ``contexts``, whose places ascend
+        contexts, context = own, np.empty_like(index)
+        if len(index):
+            context[1:] = index[:-1]
+            context[first] = np.searchsorted(one, END)
         for level in range(2, upto + 1):
-            found.append(self.find(level, context, place))
-            context = np.full_like(place, -1)
-            if len(place):
-                context[1:] = found[-1][0][:-1]
+            pair = context << 32 | index  # a context of -1 stays negative
+            distinct, back = np.unique(pair, return_inverse=True)
+            c = distinct >> 32
+            places = np.where(c >= 0, contexts[c], -1) if len(contexts) else np.full(len(c), -1, np.int64)
+            by = np.argsort(places, kind="stable")
+            got = [np.empty_like(x) for x in (places, np.zeros(0), np.zeros(0))] if not len(c) else [np.empty(len(c), x) for x in (np.int64, float, float)]
+            for to, x in zip(got, self.find(level, places[by], own[distinct & 0xFFFFFFFF][by])):
+                to[by] = x
+            found.append(tuple(x[back] for x in got))
+            contexts, last = got[0], np.where(got[0] >= 0, np.arange(len(c)), -1)[back]
+            context = np.full_like(index, -1)
+            if len(index):
+                context[1:] = last[:-1]
                 context[first] = -1
         return place, count, at, context, found
 
@@ -207,71 +323,84 @@ class Model:
 def train(docs: DataFrame, id_: str = "doc_id", text: str = "text", held: tuple[int, int] | None = (7, 2),
           least: tuple[int, ...] = (2, 3), discount: float = 0.75, shards: int | None = None) -> Model:
     """A model of order ``len(least) + 1`` from the rows whose crc32(id) mod held[0] is not held[1]."""
+    if list(least) != sorted(least) or not least or least[0] < 1:
+        raise ValueError("least must be positive and not fall")
     spark = docs.sparkSession
     small_batches(spark)
     folder = work_dir(spark, "lm")
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(id_), F.col(text))
+    order = len(least) + 1
 
     def training(b: pa.RecordBatch) -> pa.Array:
         column = b.column(1)
         return column if held is None else column.filter(pa.array(crc_of_id(b.column(0)) % held[0] != held[1]))
 
     def unigrams(batches):
-        c = _Counter(["h"])
+        c = _Words()
         for b in batches:
-            one, index, _ = _tokens(training(b))
-            yield from c.add(one.view(np.int64)[index])
+            one, index, at = _tokens(training(b))
+            if len(at) > 1:
+                n = np.bincount(index, minlength=len(one))
+                yield from c.add(one[n > 0], n[n > 0])
         yield from c.flush()
 
     def level1(batches):
         for s, (h, n) in _by_shard(batches, lambda h: _shard(h.view(np.uint64), shards)):
-            h = h.view(np.uint64)
-            order = np.argsort(h)
-            put_file(f"{folder}/1-{s}.hash", h[order].tobytes())
-            put_file(f"{folder}/1-{s}.count", n[order].tobytes())
+            h, n = _summed(h.view(np.uint64), n)
+            put_file(f"{folder}/1-{s}.hash", h.tobytes())
+            put_file(f"{folder}/1-{s}.count", n.tobytes())
             yield pa.RecordBatch.from_pydict({"s": [int(s)], "size": [len(h)], "total": [int(n.sum())]})
 
-    counted = texts.mapInArrow(unigrams, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     key = F.expr(f"shiftright(shiftrightunsigned(h, 32) * {shards}L, 32)")
-    made = counted.repartition(shards, key).mapInArrow(level1, "s long, size long, total long").collect()
-    model = Model(folder, shards, [_sizes(made, shards)], sum(r.total for r in made))
-
-    for level, few in enumerate(least, 2):
-        if level == 2 and model.vocabulary ** 1 == 0:
-            break
-        known = model
-
-        def ngrams(batches, known=known, level=level):
-            c = _Counter(["c", "w"])
-            for b in batches:
-                place, _, _, context, found = known.chain(training(b), level - 1)
-                ok = (context >= 0) & (place >= 0)
-                if level > 2:
-                    ok &= found[-1][0] >= 0  # its last n-1 words were kept as well
-                yield from c.add(context[ok], place[ok])
-            yield from c.flush()
-
-        def build(batches, known=known, level=level):
-            for s, (c, w, n) in _by_shard(batches, lambda c: c >> LOCAL):
-                order = np.lexsort((w, c))
-                c, w, n = c[order] & _MASK, known.dense(1, w[order]), n[order]
-                contexts = known.sizes[level - 2][s]
-                whole = np.asarray(known.file(level - 1, s, "count"))
-                p = (n - discount) / whole[c]
+    made = texts.mapInArrow(unigrams, "h long, n long").repartition(shards, key).mapInArrow(level1, "s long, size long, total long").collect()
+    words_ = Model(folder, shards, [_sizes(made, shards)], sum(r.total for r in made))
+    if not words_.vocabulary:
+        return Model(folder, shards, [words_.sizes[0]] + [[0] * shards for _ in least], 0)
+
+    def ngrams(batches):
+        c = _Ngrams(words_, order)
+        for b in batches:
+            yield from c.add(training(b))
+        yield from c.flush()
+
+    def build(batches):
+        got: dict[int, list[bytes]] = {}
+        for b in batches:
+            for s, block in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                got.setdefault(s, []).append(block)
+        for s in sorted(got):
+            parts = [_unblock(x, order) for x in got.pop(s)]
+            columns, n = _ordered([np.concatenate(c) for c in zip(*(p[0] for p in parts))], np.concatenate([p[1] for p in parts]))
+            del parts
+            whole, contexts, context = np.asarray(words_.file(1, s, "count")), words_.sizes[0][s], columns[0]
+            sizes = []
+            for level, few in enumerate(least, 2):
+                # rows are sorted: an n-gram is a run of rows with one context and one word
+                word = columns[level - 1]
+                live = np.flatnonzero((context >= 0) & (word > 0))
+                start = _starts(context[live], word[live])
+                sums = np.add.reduceat(n[live], start) if len(start) else np.zeros(0, np.int64)
+                kept = sums >= few
+                first = live[start[kept]]
+                c, w, m = context[first], word[first] - 1, sums[kept]
+                p = (m - discount) / whole[c]
                 rest = 1.0 - np.bincount(c, weights=p, minlength=contexts)
                 pointers = np.concatenate([[0], np.cumsum(np.bincount(c, minlength=contexts))])
                 put_file(f"{folder}/{level}-{s}.ptr", EliasFano.encode(pointers, len(c) + 1))
-                put_file(f"{folder}/{level}-{s}.next", EliasFano.encode(c * known.vocabulary + w, contexts * known.vocabulary))
+                put_file(f"{folder}/{level}-{s}.next", EliasFano.encode(c * words_.vocabulary + w, contexts * words_.vocabulary))
                 put_file(f"{folder}/{level}-{s}.prob", _quantised(p).tobytes())
                 put_file(f"{folder}/{level}-{s}.rest", _quantised(np.maximum(rest, 0)).tobytes())
-                put_file(f"{folder}/{level}-{s}.count", n.tobytes())
-                yield pa.RecordBatch.from_pydict({"s": [int(s)], "size": [len(c)], "total": [0]})
-
-        counted = texts.mapInArrow(ngrams, "c long, w long, n long").groupBy("c", "w").agg(F.sum("n").alias("n")).filter(F.col("n") >= few)
-        made = counted.repartition(shards, F.shiftright("c", LOCAL)).mapInArrow(build, "s long, size long, total long").collect()
-        model = Model(folder, shards, [*model.sizes, _sizes(made, shards)], model.total)
-    return model
+                sizes.append(len(c))
+                # each row's n-gram of this level is the context of the next
+                place = np.full(len(n), -1, np.int64)
+                place[live] = np.repeat(np.where(kept, np.cumsum(kept) - 1, -1), np.diff(np.append(start, len(live))))
+                whole, contexts, context = m, len(c), place
+            yield pa.RecordBatch.from_arrays([pa.array([s] * len(sizes), pa.int64()), pa.array(range(1, len(sizes) + 1), pa.int64()), pa.array(sizes, pa.int64())], ["s", "level", "size"])
+
+    blocks = texts.mapInArrow(ngrams, "s long, block binary")
+    made = blocks.repartition(shards, "s").mapInArrow(build, "s long, level long, size long").collect()
+    return Model(folder, shards, [words_.sizes[0]] + [_sizes([r for r in made if r.level == k], shards) for k in range(1, order)], words_.total)
 
 
 def _sizes(made: list, shards: int) -> list[int]:
