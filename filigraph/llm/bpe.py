@@ -1,23 +1,27 @@
 """Byte-level BPE encoding and decoding.
 
-The distinct words (matches of the pattern) of all texts are encoded by Spark
-higher-order functions: ``aggregate`` folds ranked merges over the array of a
-word's bytes, each step merging the leftmost neighbours of lowest rank, which a
-literal map gives (a word that is in the vocabulary is one token at once).  (A Spark map literal is searched linearly, so the literal is an
-array of small maps, addressed by crc32.)  Words of over ``FOLD_BYTES`` bytes, for
-which a fold is quadratic, are merged with a heap instead.
+The distinct words (matches of the pattern) of all texts that are not tokens
+themselves are encoded by Spark higher-order functions: ``aggregate`` folds ranked
+merges over the array of a word's byte tokens, each step merging the leftmost
+neighbours of lowest rank, which a literal map from pairs of tokens to ranks gives.
+(A Spark map literal is searched linearly, so the map is a literal hash table
+without collisions: a table of entries, and the modulus that each bucket of keys
+uses.)  Words of over ``FOLD_BYTES`` bytes are merged with a heap instead, since a
+fold copies the array at each step and so is quadratic in the word's length.
 
 The words' ids are written as sorted, hash-addressed files in the shared folder
 and memory-mapped by the tasks that assemble the texts: neither the texts nor the
 words' occurrences are shuffled, and nothing unbounded is broadcast.  Words are
 addressed by a 128-bit hash.  Decoding concatenates the vocabulary's binary pieces.
 
-Texts holding a character on which the pattern engines' Unicode tables might
-differ are encoded by the tiktoken library itself.
+Texts of common characters are cut by the pattern with its classes spelt out;
+texts with others by the same pattern with the classes as the tiktoken library
+has them, read from the library once a worker.
 
 Edge cases: a null or empty text has no ids (the hashes of the empty string);
 repeated rows are encoded alike; an empty table gives no rows; extra columns are
-ignored by ``digests`` and kept by ``encoded``.
+ignored by ``digests`` and kept by ``encoded`` and ``decoded``, whose new column
+replaces a namesake.
 """
 
 from __future__ import annotations
@@ -28,17 +32,16 @@ import hashlib
 import heapq
 import json
 import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BPE_FAST, BPE_PATTERN, BPE_RARE, arrow_fn, map_file, put_file, small_batches, work_dir
+from .common import BPE_FAST, BPE_PATTERN, BPE_RARE, arrow_fn, bpe_pattern, map_file, put_file, small_batches, work_dir
 
-BUCKETS = 1 << 15
-FOLD_BYTES = 256
+FOLD_BYTES = 2048
+SPREAD = 2097143  # a prime; its product with a pair of ids fits in a long
 
 
 @functools.lru_cache(2)
@@ -47,50 +50,83 @@ def ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def rank_literal(path: str) -> Column:
-    """The ranks by upper-case hex of the bytes: an array of maps, addressed by crc32 of the hex text."""
-    maps: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-    for b, r in ranks(path).items():
-        key = b.hex().upper()
-        maps[zlib.crc32(key.encode()) % BUCKETS][key] = r
-    return F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>")
-
-
-def fold(word: Column, table: Column) -> Column:
-    """The ids of a word (array<int>), by folding ranked merges over its bytes."""
-    code = F.hex(F.encode(word, "UTF-8"))
-    rank = lambda x: F.get(table, (F.crc32(x) % BUCKETS).cast("int"))[x]
-
-    def over(h: Column) -> Column:
-        n = (F.length(h) / 2).cast("int")
-        pieces = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(h, i * 2 - 1, F.lit(2)))
-        near = F.transform(F.sequence(F.lit(1), n - 1), lambda i: rank(F.substring(h, i * 2 - 1, F.lit(4))))
-        # the pieces, the ranks of neighbours, and the least of them; a merge changes two ranks only
-        start = F.transform(F.array(near), lambda r: F.struct(pieces.alias("p"), r.alias("r"), F.array_min(r).alias("least")))[0]
+@functools.lru_cache(2)
+def _table(path: str) -> tuple[int, str]:
+    """Bits of a token id, and the rank map as JSON: t (entries), d (by bucket, what is taken off the table's size), b (ids of bytes)."""
+    rank = ranks(path)
+    bits = max(rank.values()).bit_length()
+    if bits > 20:
+        raise ValueError("token ids of over 20 bits")
+    entries = {}
+    for x, r in rank.items():
+        for i in range(1, len(x)):
+            left, right = rank.get(x[:i]), rank.get(x[i:])
+            if left is not None and right is not None:
+                entries[left << bits | right] = r
+    size = 2 * len(entries) + 257
+    prime = next(n for n in range(len(entries) // 3 + 3, 10**9) if all(n % k for k in range(2, int(n**0.5) + 1)))
+    buckets: list[list[int]] = [[] for _ in range(prime)]
+    for key in entries:
+        buckets[key % len(buckets)].append(key)
+    table, moved = [-1] * size, [0] * len(buckets)
+    for at in sorted(range(len(buckets)), key=lambda k: -len(buckets[k])):
+        for off in range(size // 2):
+            places = [(key + 1) * SPREAD % (size - off) for key in buckets[at]]
+            if len(set(places)) == len(places) and all(table[x] < 0 for x in places):
+                break
+        else:
+            raise ValueError("no table without collisions was found")
+        moved[at] = off
+        for x, key in zip(places, buckets[at]):
+            table[x] = key << bits | entries[key]
+    return bits, json.dumps({"t": table, "d": [size - x for x in moved], "b": [rank.get(bytes([x]), 0) for x in range(256)]}, separators=(",", ":"))
+
+
+def rank_literal(path: str) -> tuple[int, int, Column]:
+    """Bits of a token id, buckets, and the literal: t, d and b of ``_table``."""
+    bits, text = _table(path)
+    return bits, text.count(",", text.index('"d"'), text.index('"b"')), F.from_json(F.lit(text), "t array<bigint>, d array<bigint>, b array<bigint>")
+
+
+def fold(word: Column, table: tuple[int, int, Column]) -> Column:
+    """The ids of a word (array<bigint>), by folding ranked merges over its bytes; an empty word has none."""
+    bits, buckets, literal = table
+    none = F.array().cast("array<bigint>")
+    let = lambda value, body: F.transform(F.array(value), body)[0]
+
+    def ids(t: Column) -> Column:
+        def score(a: Column, b: Column) -> Column:
+            """The rank of a pair; a number of more than ``bits`` bits, or below 0, if it has none."""
+            key = F.shiftleft(a, bits).bitwiseOR(b)
+            return t["t"][(key + 1) * SPREAD % t["d"][key % buckets]].bitwiseXOR(F.shiftleft(key, bits))
+
+        def ranked(a: Column, b: Column) -> Column:
+            return let(score(a, b), lambda x: F.when((x >= 0) & (x < (1 << bits)), x))
 
         def step(acc: Column, _) -> Column:
-            p, r = acc["p"], acc["r"]
-
-            def merge(at: Column) -> Column:
-                whole = F.concat(F.get(p, at - 1), F.get(p, at))
+            # p: the tokens; r: the ranks of neighbours (null: none); least: the least of them.  A merge changes two ranks only
+            p, r, m = acc["p"], acc["r"], acc["least"]
 
-                def merged_(w: Column) -> Column:
-                    none = F.array().cast("array<int>")
-                    left = F.when(at > 1, F.array(rank(F.concat(F.get(p, at - 2), w)))).otherwise(none)
-                    right = F.when(at < F.size(r), F.array(rank(F.concat(w, F.get(p, at + 1))))).otherwise(none)
-                    ranks_ = F.concat(F.slice(r, F.lit(1), F.greatest(at - 2, F.lit(0))), left, right, F.slice(r, at + 2, F.size(r)))
-                    pieces_ = F.concat(F.slice(p, F.lit(1), at - 1), F.array(w), F.slice(p, at + 2, F.size(p)))
-                    return F.transform(F.array(ranks_), lambda x: F.struct(pieces_.alias("p"), x.alias("r"), F.array_min(x).alias("least")))[0]
+            def merge(i: Column) -> Column:
+                left = F.when(i > 1, F.array(ranked(F.get(p, i - 2), m))).otherwise(none)
+                right = F.when(i < F.size(r), F.array(ranked(m, F.get(p, i + 1)))).otherwise(none)
+                near = F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), left, right, F.slice(r, i + 2, F.size(r)))
+                rest = F.concat(F.slice(p, F.lit(1), i - 1), F.array(m), F.slice(p, i + 2, F.size(p)))
+                return let(near, lambda x: F.struct(rest.alias("p"), x.alias("r"), F.array_min(x).alias("least")))
 
-                return F.transform(F.array(whole), merged_)[0]
+            return F.when(m.isNull(), acc).otherwise(let(F.array_position(r, m).cast("int"), merge))
 
-            return F.when(acc["least"].isNull(), acc).otherwise(F.transform(F.array(F.array_position(r, acc["least"]).cast("int")), merge)[0])
+        def over(p: Column) -> Column:
+            n = F.size(p)
+            near = F.zip_with(F.slice(p, F.lit(1), n - 1), F.slice(p, F.lit(2), n - 1), ranked)
+            start = let(near, lambda r: F.struct(p.alias("p"), r.alias("r"), F.array_min(r).alias("least")))
+            return F.when(n < 2, p).otherwise(F.aggregate(F.sequence(F.lit(2), n), start, step)["p"])
 
-        single = F.transform(F.array(rank(h)), lambda x: F.when(x.isNotNull(), F.array(x)))[0]
-        steps = F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
-        return F.when(n < 2, F.array(rank(h))).otherwise(F.coalesce(single, F.transform(F.aggregate(steps, start, step)["p"], rank)))
+        # each byte as the character of that number
+        chars = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
+        return F.when(F.length(word) == 0, none).otherwise(let(F.transform(chars, lambda c: t["b"][F.ascii(c)]), over))
 
-    return F.transform(F.array(code), over)[0]
+    return let(literal, ids)
 
 
 def merged(word: bytes, rank: dict[bytes, int]) -> list[int]:
@@ -121,31 +157,59 @@ def merged(word: bytes, rank: dict[bytes, int]) -> list[int]:
 
 
 @functools.lru_cache(1)
-def _cutters():
-    return re.compile(BPE_FAST).findall, re.compile(BPE_RARE).search
+def _library_pattern():
+    """The pattern with the classes as the tiktoken library has them."""
+    import tiktoken
 
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    bytes_ = {bytes([b]): b for b in range(256)}
 
-@functools.lru_cache(2)
-def _library(path: str):
-    import tiktoken
+    def members(p: str) -> str:
+        got = bytes(tiktoken.Encoding("class", pat_str=p, mergeable_ranks=bytes_, special_tokens={}).encode_ordinary(every)).decode()
+        points, out = list(map(ord, got)), []
+        for c in points:
+            if out and out[-1][1] == c - 1:
+                out[-1][1] = c
+            else:
+                out.append([c, c])
+        return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
 
-    return tiktoken.Encoding("given", pat_str=BPE_PATTERN, mergeable_ranks=ranks(path), special_tokens={})
+    return re.compile(bpe_pattern(members(r"\p{L}"), members(r"\p{N}"), members(r"\s"))).findall
 
 
-def distinct_words(docs: DataFrame, text: str) -> DataFrame:
-    """(w): the distinct pattern matches of all texts."""
+@functools.lru_cache(1)
+def cutter():
+    """A function that cuts a text as the pattern does."""
+    fast, rare = re.compile(BPE_FAST).findall, re.compile(BPE_RARE).search
+    return lambda t: _library_pattern()(t) if rare(t) else fast(t)
+
+
+@functools.lru_cache(2)
+def _whole(path: str) -> dict[str, bytes]:
+    """The tokens that are text, with their ids as little-endian unsigned 32-bit integers."""
+    out = {}
+    for x, r in ranks(path).items():
+        try:
+            out[x.decode()] = r.to_bytes(4, "little")
+        except UnicodeDecodeError:
+            pass
+    return out
+
+
+def distinct_words(docs: DataFrame, path: str, text: str) -> DataFrame:
+    """(w): the distinct pattern matches of all texts that are not tokens themselves."""
 
     def cut(batches):
-        find, rare = _cutters()
+        find, whole = cutter(), _whole(path).keys()
         seen: set[str] = set()
         for b in batches:
             for t in b.column(0).to_pylist():
-                if t and not rare(t):
+                if t:
                     seen.update(find(t))
-            if len(seen) > 300_000:
-                yield pa.RecordBatch.from_pydict({"w": pa.array(list(seen), pa.string())})
+            if len(seen) > 400_000:
+                yield pa.RecordBatch.from_pydict({"w": pa.array(list(seen - whole), pa.string())})
                 seen = set()
-        yield pa.RecordBatch.from_pydict({"w": pa.array(list(seen), pa.string())})
+        yield pa.RecordBatch.from_pydict({"w": pa.array(list(seen - whole), pa.string())})
 
     return docs.select(F.col(text)).mapInArrow(cut, "w string").distinct()
 
@@ -219,10 +283,9 @@ def dictionary(docs: DataFrame, path: str, text: str = "text", shards: int | Non
     small_batches(spark)
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     folder = work_dir(spark, "bpe")
-    all_words = distinct_words(docs, text)
-    table = rank_literal(path)
+    all_words = distinct_words(docs, path, text)
     short = F.octet_length("w") <= FOLD_BYTES
-    coded = all_words.select("w", F.when(short, fold(F.col("w"), table)).alias("ids"))
+    coded = all_words.select("w", F.when(short, fold(F.col("w"), rank_literal(path))).alias("ids"))
 
     def keyed(batches):
         rank = ranks(path)
@@ -231,7 +294,7 @@ def dictionary(docs: DataFrame, path: str, text: str = "text", shards: int | Non
             h = _hashes(w)
             ids = b.column(1)
             if ids.null_count:
-                ids = pa.array([merged(x.encode(), rank) if i is None else i for x, i in zip(w, ids.to_pylist())], pa.list_(pa.int32()))
+                ids = pa.array([merged(x.encode(), rank) if i is None else i for x, i in zip(w, ids.to_pylist())], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(_shard_of(h[:, 0], shards)), pa.array(h[:, 0].view(np.int64)), pa.array(h[:, 1].view(np.int64)), ids], ["s", "high", "low", "ids"])
 
     def stored(batches):
@@ -254,7 +317,7 @@ def dictionary(docs: DataFrame, path: str, text: str = "text", shards: int | Non
             put_file(f"{folder}/{k}.high", high[o].tobytes())
             yield pa.RecordBatch.from_pydict({"s": pa.array([k], pa.int64())})
 
-    made = coded.mapInArrow(keyed, "s long, high long, low long, ids array<int>").repartition(shards, "s").mapInArrow(stored, "s long").collect()
+    made = coded.mapInArrow(keyed, "s long, high long, low long, ids array<long>").repartition(shards, "s").mapInArrow(stored, "s long").collect()
     return Dictionary(folder, shards, [r.s for r in made])
 
 
@@ -265,30 +328,22 @@ class Assembler:
     """A worker's own memo of words' ids (as bytes), filled from the dictionary batch by batch and bounded."""
 
     def __init__(self, words: Dictionary, path: str):
-        self.words, self.path, self.memo = words, path, {}
+        self.words, self.whole = words, _whole(path)
+        self.memo = dict(self.whole)
 
     def batch(self, column: pa.Array) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
-        find, rare = _cutters()
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        out, seen = [], set()
-        for t in column.to_pylist():
-            if not t:
-                out.append(b"")
-            elif rare(t):
-                out.append(np.array(_library(self.path).encode_ordinary(t), "<u4").tobytes())
-            else:
-                pieces = find(t)
-                seen.update(pieces)
-                out.append(pieces)
-        new = [w for w in seen if w not in self.memo]
+        find = cutter()
+        if len(self.memo) > len(self.whole) + MEMO:
+            self.memo = dict(self.whole)
+        cuts = [find(t) if t else [] for t in column.to_pylist()]
+        new = list(set().union(*cuts) - self.memo.keys())
         if new:
             ids, at = self.words.ids(new)
             raw, at = ids.astype("<u4").tobytes(), (at * 4).tolist()
             self.memo.update(zip(new, [raw[i:j] for i, j in zip(at, at[1:])]))
         of = self.memo.__getitem__
-        return [x if isinstance(x, bytes) else b"".join(map(of, x)) for x in out]
+        return [b"".join(map(of, x)) for x in cuts]
 
 
 def encoded(docs: DataFrame, path: str, text: str = "text", words: Dictionary | None = None) -> DataFrame:
@@ -331,7 +386,3 @@ def digests(docs: DataFrame, path: str, id_: str = "doc_id", text: str = "text")
     out = docs.select(F.col(id_).alias("i"), F.col(text)).mapInArrow(run, f"i {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return out.withColumnRenamed("i", id_)
 
-
-def last_stage(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
-    """Pipeline stage: the digests of the documents that are left."""
-    return digests(docs, path)

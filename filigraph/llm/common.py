@@ -24,7 +24,14 @@ BPE_RARE = r"[^\x00-\u0557\u2000-\u206f\u20a0-\u20bf\u2100-\u214f\u3000-\u30ff\u
 _LETTERS = r"A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02c1\u02c6-\u02d1\u02e0-\u02e4\u02ec\u02ee\u0370-\u0374\u0376-\u0377\u037a-\u037d\u037f\u0386\u0388-\u038a\u038c\u038e-\u03a1\u03a3-\u03f5\u03f7-\u0481\u048a-\u052f\u0531-\u0556\u2102\u2107\u210a-\u2113\u2115\u2119-\u211d\u2124\u2126\u2128\u212a-\u212d\u212f-\u2139\u213c-\u213f\u2145-\u2149\u214e\u3005-\u3006\u3031-\u3035\u303b-\u303c\u3041-\u3096\u309d-\u309f\u30a1-\u30fa\u30fc-\u30ff\u4e00-\u9fef\uac00-\ud7a3"
 _NUMBERS = r"0-9\u00b2-\u00b3\u00b9\u00bc-\u00be\u3007\u3021-\u3029\u3038-\u303a"
 _SPACES = r"\u0009-\u000d\u0020\u0085\u00a0\u2000-\u200a\u2028-\u2029\u202f\u205f\u3000"
-BPE_FAST = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^{_SPACES}{_LETTERS}{_NUMBERS}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+"
+
+
+def bpe_pattern(letters: str, numbers: str, spaces: str) -> str:
+    """The pattern with its classes spelt out."""
+    return rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^{spaces}{letters}{numbers}]+|[{spaces}]+(?![^{spaces}])|[{spaces}]+"
+
+
+BPE_FAST = bpe_pattern(_LETTERS, _NUMBERS, _SPACES)
 #: Stands for a missing document id when the smallest id is sought: it sorts last.
 NO_ID = 2**63 - 1
 #: Rows a broadcast side may have; beyond it the join shuffles.
@@ -90,11 +97,6 @@ def arrow_fn(f, kind: str):
     return F.arrow_udf(f, kind).asNondeterministic()
 
 
-def joined(left: DataFrame, right: DataFrame, on: list[str], how: str, right_rows: int) -> DataFrame:
-    """Join with a side whose rows have been counted: broadcast up to BROADCAST_ROWS, else by shuffle."""
-    return left.join(F.broadcast(right) if right_rows <= BROADCAST_ROWS else right, on, how)
-
-
 def heavy_split_join(left: DataFrame, keys: DataFrame, on: list[str], count: str, total: int) -> DataFrame:
     """Inner join of rows with one row per key; keys that hold over 1/500 of ``total`` rows are broadcast.
 
