@@ -73,6 +73,17 @@ def unzigzag(v: Column) -> Column:
     return F.when(v % 2 == 0, F.shiftright(v, 1)).otherwise(-F.shiftright(v + 1, 1))
 
 
+def small_count(v: Column, code: str = "fibonacci") -> Column:
+    """Two bits for 0, 1, 2; others follow an escape of two."""
+    return F.when(v < 3, 2).otherwise(2 + length(v, code))
+
+
+def elias_fano(n: Column, top: Column) -> Column:
+    """A non-decreasing list of ``n`` members, the last of which is ``top``: length, low width, low parts, unary high parts."""
+    low = F.when(n > 1, F.greatest(bit_length(F.greatest(F.floor((top + 1) / n), F.lit(1))) - 1, F.lit(0))).otherwise(0)
+    return F.when(n == 0, 1).otherwise(gamma(n + 1) + gamma(low + 1) + n * low + n + F.floor(top / F.pow(F.lit(2.0), low)))
+
+
 def length(v: Column, code: str, **p) -> Column:
     table = {"unary": unary, "gamma": gamma, "delta": delta, "fibonacci": fibonacci, "zeta": zeta, "golomb": golomb, "rice": rice, "fed": fed}
     return table[code](v, **p).cast("long")

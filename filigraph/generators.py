@@ -105,3 +105,72 @@ def clique(spark: SparkSession, n: int) -> Graph:
     v = _vertices(spark, n)
     e = v.select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n).cast("long"))).alias("dst"))
     return Graph(e.filter("src <> dst"), v)
+
+
+def modular_hubs(spark: SparkSession, n: int, k: int, p_in: float = 0.1, p_out: float = 0.01, hub_share: float = 0.05, p_hub: float = 0.5, seed: int = 7) -> tuple[Graph, DataFrame]:
+    """k modules of a block model; each module's first ``hub_share`` of vertices link to all hubs with ``p_hub``. And the labels."""
+    sizes = [n // k + (i < n % k) for i in range(k)]
+    g, lab = blocks(spark, sizes, p_in, p_out, seed)
+    from pyspark.sql import Window
+
+    first = lab.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("id")))
+    hubs = first.filter(F.col("r") <= max(1, int(hub_share * (n // k)))).select("id", "label")
+    every = hubs.agg(F.collect_list("id").alias("ids"))  # at most hub_share of the vertices
+    pair = hubs.select(F.col("id").alias("src")).join(F.broadcast(every)).select("src", F.explode("ids").alias("dst")).filter("src <> dst")
+    extra = pair.filter(unit(F.lit(seed + 1), "src", "dst") < p_hub)
+    return Graph.of(g.edges.unionByName(extra), g.vertices), lab
+
+
+def lfr(spark: SparkSession, n: int, tau_degree: float = 2.5, tau_size: float = 1.5, mixing: float = 0.1, mean_degree: int = 10, max_degree: int = 50, least: int = 20, most: int = 100, seed: int = 7) -> tuple[Graph, DataFrame]:
+    """Power-law degrees and community sizes with a share ``mixing`` of links leaving the community; and the labels.
+
+    Community sizes are drawn on the driver (one number a community); degrees, and the
+    ends of links, are hashes, so edges are made where their source is: a link's end is a
+    uniform member of the own community, or of all vertices.
+    """
+    import numpy as np
+
+    r = np.random.default_rng(seed)
+    starts, at = [1], 1
+    while at <= n:
+        u = r.random()
+        a, b = float(least) ** (1 - tau_size), float(most) ** (1 - tau_size)
+        at += int((a + u * (b - a)) ** (1 / (1 - tau_size)))
+        starts.append(at)
+    starts[-1] = n + 1
+    if len(starts) > 2 and starts[-1] - starts[-2] < least:  # the last one is too small
+        del starts[-2]
+    rows = [(i, a, b - a) for i, (a, b) in enumerate(zip(starts, starts[1:]), 1)]
+    sizes = spark.createDataFrame(rows, "label long, first long, size long")
+    lab = sizes.select("label", F.explode(F.sequence("first", F.col("first") + F.col("size") - 1)).alias("id"), "first", "size")
+    # degrees: power law from the least that gives the mean, cut at the maximum
+    low = max(1.0, mean_degree * (tau_degree - 2) / (tau_degree - 1)) if tau_degree > 2 else 1.0
+    a, b = low ** (1 - tau_degree), float(max_degree + 1) ** (1 - tau_degree)
+    degree = F.greatest(F.lit(1), F.floor(F.pow(a + unit(F.lit(seed), "id") * (b - a), 1 / (1 - tau_degree)))).cast("int")
+    e = lab.withColumn("j", F.explode(F.sequence(F.lit(1), degree)))
+    inside = unit(F.lit(seed + 1), "id", "j") >= mixing
+    own = F.col("first") + F.floor(unit(F.lit(seed + 2), "id", "j") * F.col("size")).cast("long")
+    far = F.floor(unit(F.lit(seed + 3), "id", "j") * n).cast("long") + 1
+    e = e.select(F.col("id").alias("src"), F.when(inside, own).otherwise(far).alias("dst")).filter("src <> dst")
+    return Graph.of(e, _vertices(spark, n)), lab.select("id", "label")
+
+
+def training_batch(spark: SparkSession, low: int = 500, high: int = 2000, size: int = 16, seed: int = 7) -> list[tuple[str, Graph]]:
+    """Random, scale-free, block and web graphs by turns, of seeded sizes."""
+    import numpy as np
+
+    r = np.random.default_rng(seed)
+    out = []
+    for i in range(size):
+        n = int(r.integers(low, high + 1))
+        kind = ("random", "scale_free", "blocks", "web")[i % 4]
+        if kind == "random":
+            g = erdos_renyi(spark, n, 8.0 / n, seed + i)
+        elif kind == "scale_free":
+            g = preferential(spark, n, 4, seed + i)
+        elif kind == "blocks":
+            g = blocks(spark, [n // 4] * 4, 0.05, 0.005, seed + i)[0]
+        else:
+            g = web_graph(spark, n, 8, seed + i)
+        out.append((kind, g))
+    return out

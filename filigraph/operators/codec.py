@@ -112,6 +112,33 @@ def huffman_bits(g: Graph) -> DataFrame:
     return g.edges.sparkSession.createDataFrame([(total,)], "total_bits long")
 
 
+def stop_costs(g: Graph, code: str = "gamma") -> DataFrame:
+    """(id, bits): lists as stop-coded gaps, the first relative to the vertex; an empty list takes one bit."""
+    w = Window.partitionBy("src").orderBy("dst")
+    first = codes.zigzag(F.col("dst") - F.col("src")) + 1
+    v = g.edges.select("src", F.coalesce(F.col("dst") - F.lag("dst").over(w), first).alias("value"))
+    bits = v.groupBy(F.col("src").alias("id")).agg((F.sum(codes.length(F.col("value"), code)) + F.count(F.lit(1)) + 1).alias("bits"))
+    return g.vertices.join(bits, "id", "left").select("id", F.coalesce("bits", F.lit(1)).cast("long").alias("bits"))
+
+
+def elias_fano_sizes(g: Graph) -> DataFrame:
+    """(src, bits): each list as an Elias-Fano sequence."""
+    x = g.edges.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.max("dst").alias("top"))
+    return x.select("src", codes.elias_fano(F.col("n"), F.col("top")).cast("long").alias("bits"))
+
+
+def block_costs(bits: DataFrame, code: str = "gamma") -> DataFrame:
+    """(id, bits): copy lists ``bits(id, pos, hit)`` as alternating block lengths, a copied one first, the last left out."""
+    w = Window.partitionBy("id").orderBy("pos")
+    x = bits.withColumn("new", F.when(F.col("hit") == F.lag("hit").over(w), 0).otherwise(1)).withColumn("block", F.sum("new").over(w))
+    b = x.groupBy("id", "block", "hit").agg(F.count(F.lit(1)).alias("size"))
+    lead = F.when((F.col("block") == 1) & ~F.col("hit"), 1).otherwise(0)
+    last = F.max("block").over(Window.partitionBy("id"))
+    y = b.withColumn("last", last).withColumn("lead", lead).withColumn("n", F.col("last") + F.max("lead").over(Window.partitionBy("id")))
+    one = F.when(F.col("block") < F.col("last"), codes.length(F.col("size") + F.when((F.col("block") == 1) & F.col("hit"), 1).otherwise(0), code)).otherwise(0)
+    return y.groupBy("id").agg((F.sum(one) + F.max("lead") + codes.length(F.max("n"), code)).alias("bits"))
+
+
 # container -----------------------------------------------------------------
 
 

@@ -171,3 +171,25 @@ def ordering_metrics(g: Graph, window: int = 7, least: int = 4) -> DataFrame:
     b = best.agg(F.avg("overlap").alias("ref_overlap"), F.avg(F.col("overlap") / (F.col("out_degree") + F.col("dr") - F.col("overlap"))).alias("ref_jaccard"), F.sum("overlap").alias("copied"))
     t = a.join(F.broadcast(c)).join(F.broadcast(b))
     return t.select("log_gap", "distance", (F.col("inside") / F.col("m")).alias("interval_share"), "ref_overlap", "ref_jaccard", (F.coalesce("copied", F.lit(0)) / F.col("m")).alias("copy_share"))
+
+
+def degree_autocorrelation(g: Graph) -> DataFrame:
+    """(autocorrelation): of out-degrees of vertices whose ids follow one another; 0 without variation."""
+    d = g.out_degrees()
+    x = d.join(d.select((F.col("id") + 1).alias("id"), F.col("out_degree").alias("before")), "id")
+    m = d.agg(F.avg("out_degree").alias("mean"), F.var_pop("out_degree").alias("var"), F.count(F.lit(1)).alias("n"))
+    c = x.join(F.broadcast(m)).agg(F.sum((F.col("out_degree") - F.col("mean")) * (F.col("before") - F.col("mean"))).alias("c"))
+    r = F.when((F.col("var") > 0) & (F.col("n") > 1), F.coalesce("c", F.lit(0.0)) / ((F.col("n") - 1) * F.col("var"))).otherwise(0.0)
+    return c.join(F.broadcast(m)).select(r.alias("autocorrelation"))
+
+
+def compared(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(metric, first, second, difference) of two one-row tables of metrics."""
+    names = [c for c in a.columns if c in b.columns]
+    rows = lambda d, n: d.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias(n)) for c in names])).alias("x")).select("x.*")
+    return rows(a, "first").join(rows(b, "second"), "metric").withColumn("difference", F.col("second") - F.col("first"))
+
+
+def dense_enough(g: Graph, labels: DataFrame, least: float) -> DataFrame:
+    """(stop): whether every cluster reaches a density, so that coarsening may end."""
+    return cluster_density(g, labels).agg(F.coalesce(F.min("density") >= least, F.lit(True)).alias("stop"))

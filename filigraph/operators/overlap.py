@@ -9,9 +9,18 @@ from ..graph import Graph
 
 
 def overlaps(rows: DataFrame, targets: DataFrame, row: str = "row_id", target: str = "target_id", item: str = "item") -> DataFrame:
-    """(target, row, overlap) of sets given as (id, item) pairs, for pairs that share an item."""
-    a, b = targets.select(target, item).distinct(), rows.select(row, item).distinct()
-    return a.join(b, item).groupBy(target, row).agg(F.count(F.lit(1)).alias("overlap"))
+    """(target, row, overlap) of sets given as distinct (id, item) pairs, for pairs that share an item.
+
+    Items held by many rows are split by a hash of the row, and their targets copied to
+    each part, so that no task takes all of a popular item's pairs.
+    """
+    a, b = targets.select(target, item), rows.select(row, item)
+    parts = b.groupBy(item).agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / 10_000)).cast("int").alias("_n"))
+    many = F.broadcast(parts.filter("_n > 1").orderBy(F.desc("_n")).limit(10_000))  # of the rest none has over 10,000 rows, or all are alike
+    n = F.coalesce("_n", F.lit(1))
+    a = a.join(many, item, "left").withColumn("_p", F.explode(F.sequence(F.lit(0), n - 1))).drop("_n")
+    b = b.join(many, item, "left").withColumn("_p", F.pmod(F.xxhash64(row), n).cast("int")).drop("_n")
+    return a.join(b, [item, "_p"]).groupBy(target, row).agg(F.count(F.lit(1)).alias("overlap"))
 
 
 def topk_overlaps(rows: DataFrame, targets: DataFrame, k: int) -> DataFrame:
@@ -29,8 +38,8 @@ def best_overlap(rows: DataFrame, targets: DataFrame) -> DataFrame:
 
 def jaccards(rows: DataFrame, targets: DataFrame) -> DataFrame:
     """(target, row, overlap, jaccard)."""
-    dr = rows.select("row_id", "item").distinct().groupBy("row_id").agg(F.count(F.lit(1)).alias("dr"))
-    dt = targets.select("target_id", "item").distinct().groupBy("target_id").agg(F.count(F.lit(1)).alias("dt"))
+    dr = rows.groupBy("row_id").agg(F.count(F.lit(1)).alias("dr"))
+    dt = targets.groupBy("target_id").agg(F.count(F.lit(1)).alias("dt"))
     x = overlaps(rows, targets).join(dr, "row_id").join(dt, "target_id")
     return x.select("target_id", "row_id", "overlap", (F.col("overlap") / (F.col("dr") + F.col("dt") - F.col("overlap"))).alias("jaccard"))
 
@@ -59,15 +68,17 @@ def max_motifs(g: Graph) -> DataFrame:
 def triangles(g: Graph) -> DataFrame:
     """(a, b, c): directed 3-cycles a->b->c->a, each once, led by the vertex of lowest (mn3, id).
 
-    Starting at the vertex that could be in fewest triangles keeps hubs from fanning out.
+    Wedges are built at the vertex that could be in fewest triangles, which keeps hubs
+    from fanning out: their number is at most the sum of in times out over those.
     """
     rank = max_motifs(g).select("id", F.struct("mn3", "id").alias("r"))
     r = lambda c: rank.select(F.col("id").alias(c), F.col("r").alias(f"r_{c}"))
-    e = g.edges.filter("src <> dst").join(r("src"), "src").join(r("dst"), "dst")
-    ab = e.filter("r_src < r_dst").select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("r_src").alias("ra"))
-    bc = e.select(F.col("src").alias("b"), F.col("dst").alias("c"), F.col("r_dst").alias("rc"))
-    ca = g.edges.select(F.col("src").alias("c"), F.col("dst").alias("a"))
-    return ab.join(bc, "b").filter("ra < rc").join(ca, ["c", "a"], "left_semi").select("a", "b", "c")
+    e = g.edges.filter("src <> dst")
+    ranked = e.join(r("src"), "src").join(r("dst"), "dst")
+    ab = ranked.filter("r_src < r_dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    ca = ranked.filter("r_dst < r_src").select(F.col("dst").alias("a"), F.col("src").alias("c"))
+    bc = e.select(F.col("src").alias("b"), F.col("dst").alias("c"))
+    return ab.join(ca, "a").filter("b <> c").join(bc, ["b", "c"], "left_semi").select("a", "b", "c")
 
 
 def clustering_coefficients(g: Graph, density: float | None = None) -> DataFrame:
@@ -103,3 +114,19 @@ def set_operation(a: DataFrame, b: DataFrame, kind: str, one: str, two: str) ->
     """(id, size) of a set operation on the neighbour lists of paired ids: kind is union, intersect or except."""
     op = {"union": F.array_union, "intersect": F.array_intersect, "except": F.array_except}[kind]
     return a.select("id", F.size(op(F.col(one), F.col(two))).cast("long").alias("size")) if b is None else a.join(b, "id").select("id", F.size(op(F.col(one), F.col(two))).cast("long").alias("size"))
+
+
+def as_reference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(id, positions, additions) of lists ``a(id, nbrs)`` given reference lists ``b(id, nbrs)``.
+
+    Positions (from 0) of the reference's members that are copied, and what the list holds besides.
+    """
+    x = a.join(b.select("id", F.col("nbrs").alias("ref")), "id")
+    at = F.filter(F.transform("ref", lambda v, i: F.when(F.array_contains("nbrs", v), i)), lambda i: i.isNotNull())
+    return x.select("id", at.alias("positions"), F.array_except("nbrs", "ref").alias("additions"))
+
+
+def with_candidate(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """The (row_id, item) index with one more row of the distinct ``items(item)``, numbered after the last."""
+    last = rows.agg(F.coalesce(F.max("row_id"), F.lit(0)).alias("last"))
+    return rows.select("row_id", "item").unionByName(items.select("item").distinct().join(F.broadcast(last)).select((F.col("last") + 1).alias("row_id"), "item"))

@@ -9,18 +9,23 @@ from ..graph import Graph
 from ..runtime import saved, work_dir
 
 
-def bfs_levels(g: Graph, start: DataFrame, max_levels: int = 1000) -> DataFrame:
-    """(id, level): hops from the nearest of ``start(id)``; unreached vertices are left out."""
-    folder = work_dir(g.edges.sparkSession, "bfs")
-    seen = saved(start.select(F.col("id").cast("long")).distinct().withColumn("level", F.lit(0)), f"{folder}/0")
-    for t in range(1, max_levels):
-        front = seen.filter(F.col("level") == t - 1)
+def bfs_levels(g: Graph, start: DataFrame, max_levels: int = 10_000) -> DataFrame:
+    """(id, level): hops from the nearest of ``start(id)``; unreached vertices are left out.
+
+    One round a level: raises if ``max_levels`` do not reach all there is to reach.
+    """
+    spark = g.edges.sparkSession
+    folder = work_dir(spark, "bfs")
+    front = saved(start.select(F.col("id").cast("long")).distinct().withColumn("level", F.lit(0)), f"{folder}/0")
+    schema, parts = front.schema, [f"{folder}/0"]
+    for t in range(1, max_levels + 1):
+        seen = spark.read.schema(schema).parquet(*parts)
         new = g.edges.join(front.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti")
-        new = saved(new.withColumn("level", F.lit(t)), f"{folder}/n{t}")
-        if not new.limit(1).count():
-            break
-        seen = saved(seen.unionByName(new), f"{folder}/{t}")
-    return seen
+        front = saved(new.select("id", F.lit(t).alias("level")), f"{folder}/{t}")
+        if not front.limit(1).count():
+            return seen
+        parts.append(f"{folder}/{t}")
+    raise RuntimeError(f"{max_levels} levels do not reach every vertex")
 
 
 def weak_components(g: Graph, max_rounds: int = 60) -> DataFrame:
@@ -48,49 +53,124 @@ def weak_components(g: Graph, max_rounds: int = 60) -> DataFrame:
     return g.vertices.join(now.select(F.col("b").alias("id"), F.col("a").alias("c")), "id", "left").select("id", F.coalesce("c", "id").alias("component"))
 
 
+def _within(e: DataFrame, v: DataFrame) -> DataFrame:
+    """The edges among ``v(id)``."""
+    return e.join(v.withColumnRenamed("id", "src"), "src", "left_semi").join(v.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst")
+
+
+def _trimmed(e: DataFrame, v: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """What is left without vertices that lack an in- or an out-edge, as long as there are few rounds of them."""
+    for k in range(4):
+        ends = e.select(F.col("src").alias("id")).distinct().join(e.select(F.col("dst").alias("id")).distinct(), "id")
+        rest = saved(v.join(ends, "id", "left_semi"), f"{folder}/v{k}")
+        if rest.count() == v.count():
+            break
+        v, e = rest, saved(_within(e, rest), f"{folder}/e{k}")
+    return e, v
+
+
+def _contracted(e: DataFrame, v: DataFrame, folder: str):
+    """Vertices of a single out-edge are merged into the first vertex on their way that has more, by pointer doubling.
+
+    Returns the smaller graph, the components found on the way (rings of such
+    vertices), and a function that gives the components of all vertices from those of
+    the smaller graph's.  A merged vertex is in its target's component if and only if
+    an edge of that component enters its way at or above it.
+    """
+    lone = e.groupBy("src").agg(F.count(F.lit(1)).alias("k"), F.min("dst").alias("p")).filter("k = 1").select(F.col("src").alias("v"), "p")
+    up = saved(lone.withColumn("m", F.least("v", "p")), f"{folder}/p0")
+    n = up.count()
+    if not n:
+        return None
+    jumps, rounds = [up], n.bit_length() + 1
+    for k in range(1, rounds + 1):
+        last = jumps[-1]
+        far = last.select(F.col("v").alias("p"), F.col("p").alias("q"), F.col("m").alias("mq"))
+        up = saved(last.join(far, "p", "left").select("v", F.coalesce("q", "p").alias("p"), F.least("m", F.coalesce("mq", "m")).alias("m"), F.col("q").isNotNull().alias("moved")), f"{folder}/p{k}")
+        jumps.append(up.drop("moved"))
+        if not up.filter("moved").limit(1).count():
+            break
+    end = jumps[-1]
+    ringed = end.join(end.select(F.col("v").alias("p")), "p", "left_semi")  # these never leave the single ones
+    ring = saved(end.join(ringed.select(F.col("p").alias("v")).distinct(), "v", "left_semi").select(F.col("v").alias("id"), F.col("m").alias("component")), f"{folder}/ring")
+    root = saved(end.join(ringed.select("v"), "v", "left_anti").select("v", F.col("p").alias("root")), f"{folder}/root")
+    single = end.select("v")
+    left = saved(v.join(single.withColumnRenamed("v", "id"), "id", "left_anti"), f"{folder}/left")
+    out = e.join(single.withColumnRenamed("v", "src"), "src", "left_anti")
+    to = out.join(root.withColumnRenamed("v", "dst"), "dst", "left")
+    to = to.join(ringed.select(F.col("v").alias("dst")), "dst", "left_anti")
+    smaller = saved(to.select("src", F.coalesce("root", "dst").alias("dst")).filter("src <> dst").distinct(), f"{folder}/smaller")
+
+    def undo(found: DataFrame | None) -> DataFrame:
+        own = left.select("id", F.col("id").alias("component"))
+        comp = own if found is None else left.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+        comp = saved(comp, f"{folder}/own")
+        c = comp.select(F.col("id").alias("src"), F.col("component").alias("cs"))
+        entry = out.join(root.withColumnRenamed("v", "dst"), "dst").join(c, "src").join(c.select(F.col("src").alias("root"), F.col("cs").alias("cr")), "root").filter("cs = cr")
+        marked = saved(entry.select(F.col("dst").alias("v")).distinct(), f"{folder}/m")
+        for k, j in enumerate(jumps[:-1]):  # all on the way down from a marked one are marked as well
+            marked = saved(marked.unionByName(j.join(marked, "v", "left_semi").select(F.col("p").alias("v")).join(root, "v", "left_semi")).distinct(), f"{folder}/m{k}")
+        mine = marked.join(root, "v").join(comp.select(F.col("id").alias("root"), "component"), "root").select(F.col("v").alias("id"), "component")
+        return saved(comp.unionByName(mine).unionByName(ring), f"{folder}/undone")
+
+    return smaller, left, undo
+
+
 def strong_components(g: Graph, max_rounds: int = 1000) -> DataFrame:
     """(id, component): smallest vertex of each strongly connected component.
 
-    Forward-backward colouring: trim vertices without in- or out-edges (each its own
-    component), spread the smallest reaching id forward to a fixed point, then
-    collect backward from each colour's root the vertices of that colour.
+    Vertices without in- or out-edges are trimmed, and chains and rings of vertices of
+    one out-edge, then of one in-edge, are contracted by pointer doubling, so that long
+    ones take logarithmically many rounds.  What is left takes forward-backward
+    colouring: the smallest reaching id spreads forward to a fixed point, and from each
+    colour's root the vertices of that colour are collected backward.  Raises if
+    ``max_rounds`` do not suffice.
     """
     folder = work_dir(g.edges.sparkSession, "scc")
     e = saved(g.edges.filter("src <> dst"), f"{folder}/e")
     left = saved(g.vertices, f"{folder}/v")
+    flip = lambda x: x.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    undos = []
+    for turn in range(2):
+        e, left = _trimmed(e, left, f"{folder}/trim{turn}")
+        got = _contracted(e, left, f"{folder}/way{turn}")
+        if got:
+            e, left, undo = got
+            undos.append(undo)
+        e = flip(e)
     done: list[DataFrame] = []
     for k in range(max_rounds):
-        # trim
-        while True:
-            k += 1
-            ends = e.select(F.col("src").alias("id")).distinct().join(e.select(F.col("dst").alias("id")).distinct(), "id")
-            rest = saved(left.join(ends, "id", "left_semi"), f"{folder}/t{len(done)}_{k}")
-            gone = saved(left.join(rest, "id", "left_anti"), f"{folder}/g{len(done)}_{k}")
-            if not gone.limit(1).count():
-                break
-            done.append(gone.select("id", F.col("id").alias("component")))
-            left = rest
-            e = saved(e.join(left.withColumnRenamed("id", "src"), "src", "left_semi").join(left.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst"), f"{folder}/e{len(done)}_{k}")
-        if not left.limit(1).count():
+        e, left = _trimmed(e, left, f"{folder}/t{k}")
+        if not e.limit(1).count():
             break
         colour = left.withColumn("c", F.col("id"))
         for j in range(max_rounds):
             near = e.join(colour, F.col("src") == F.col("id")).groupBy(F.col("dst").alias("v")).agg(F.min("c").alias("m"))
-            new = saved(colour.join(near, F.col("id") == F.col("v"), "left").select("id", F.least("c", F.coalesce("m", "c")).alias("c"), (F.col("m") < F.col("c")).alias("moved")), f"{folder}/c{len(done)}_{j}")
+            new = saved(colour.join(near, F.col("id") == F.col("v"), "left").select("id", F.least("c", F.coalesce("m", "c")).alias("c"), (F.col("m") < F.col("c")).alias("moved")), f"{folder}/c{k}_{j}")
             colour = new.select("id", "c")
             if not new.filter("moved").limit(1).count():
                 break
+        else:
+            raise RuntimeError(f"colours did not settle in {max_rounds} rounds")
         inside = e.join(colour.select(F.col("id").alias("src"), F.col("c").alias("cs")), "src").join(colour.select(F.col("id").alias("dst"), F.col("c").alias("cd")), "dst").filter("cs = cd").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        inside = saved(inside, f"{folder}/i{len(done)}")
-        back = bfs_levels(Graph(inside, left), colour.filter("id = c").select("id"), max_rounds)
-        found = saved(back.join(colour, "id").select("id", F.col("c").alias("component")), f"{folder}/f{len(done)}")
+        back = bfs_levels(Graph(saved(inside, f"{folder}/i{k}"), left), colour.filter("id = c").select("id"))
+        found = saved(back.join(colour, "id").select("id", F.col("c").alias("component")), f"{folder}/f{k}")
         done.append(found)
-        left = saved(left.join(found, "id", "left_anti"), f"{folder}/r{len(done)}")
-        e = saved(e.join(left.withColumnRenamed("id", "src"), "src", "left_semi").join(left.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst"), f"{folder}/x{len(done)}")
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+        left = saved(left.join(found, "id", "left_anti"), f"{folder}/r{k}")
+        e = saved(_within(e, left), f"{folder}/x{k}")
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    comp = None
+    for d in done:
+        comp = d if comp is None else comp.unionByName(d)
+    alone = g.vertices.select("id", F.col("id").alias("component"))
+    for undo in reversed(undos):
+        comp = undo(comp)
+    if comp is None:
+        return alone
+    first = comp.groupBy("component").agg(F.min("id").alias("least"))
+    named = comp.join(first, "component").select("id", F.col("least").alias("component"))
+    return named.unionByName(alone.join(named, "id", "left_anti"))
 
 
 def core(g: Graph) -> tuple[Graph, DataFrame]:
@@ -120,34 +200,38 @@ def k_cores(g: Graph, max_k: int = 10_000) -> DataFrame:
     return done
 
 
-def shortest_path(g: Graph, s: int, t: int, max_levels: int = 1000) -> DataFrame:
-    """(path): one fewest-hop path, the smallest predecessor at each step; no row where there is none."""
+def shortest_path(g: Graph, s: int, t: int, max_levels: int = 10_000) -> DataFrame:
+    """(path): one fewest-hop path, the smallest predecessor at each step; no row where there is none.
+
+    Raises if ``max_levels`` do not tell.
+    """
     spark = g.edges.sparkSession
     folder = work_dir(spark, "path")
-    seen = saved(spark.createDataFrame([(s, 0, None)], "id long, level int, parent long"), f"{folder}/0")
-    for k in range(1, max_levels):
-        if seen.filter(F.col("id") == t).limit(1).count():
+    none = spark.createDataFrame([], "path array<long>")
+    front = saved(spark.createDataFrame([(s, None)], "id long, parent long"), f"{folder}/0")
+    parts = [f"{folder}/0"]
+    for k in range(1, max_levels + 1):
+        if front.filter(F.col("id") == t).limit(1).count():
             break
-        front = seen.filter(F.col("level") == k - 1).select(F.col("id").alias("src"))
-        new = g.edges.join(front, "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent")).join(seen, "id", "left_anti")
-        new = saved(new.select("id", F.lit(k).alias("level"), "parent"), f"{folder}/n{k}")
-        if not new.limit(1).count():
-            return spark.createDataFrame([], "path array<long>")
-        seen = saved(seen.unionByName(new), f"{folder}/{k}")
-    path, at = [t], t
-    while at != s:  # as many single-row lookups as the path has steps
-        r = seen.filter(F.col("id") == at).select("parent").first()
-        if r is None:
-            return spark.createDataFrame([], "path array<long>")
-        at = r.parent
-        path.append(at)
+        seen = spark.read.schema(front.schema).parquet(*parts)
+        new = g.edges.join(front.select(F.col("id").alias("src")), "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent")).join(seen, "id", "left_anti")
+        front = saved(new.select("id", "parent"), f"{folder}/{k}")
+        if not front.limit(1).count():
+            return none
+        parts.append(f"{folder}/{k}")
+    else:
+        raise RuntimeError(f"{max_levels} levels do not reach the target")
+    path = [t]
+    for at in reversed(parts[1:]):  # one lookup a level, in that level's table
+        path.append(spark.read.schema(front.schema).parquet(at).filter(F.col("id") == path[-1]).first().parent)
     return spark.createDataFrame([(path[::-1],)], "path array<long>")
 
 
-def greedy_paths(g: Graph, scores: DataFrame, s: int, t: int, k: int = 1, max_steps: int = 100) -> DataFrame:
+def greedy_paths(g: Graph, scores: DataFrame, s: int, t: int, k: int = 1, max_steps: int = 10_000) -> DataFrame:
     """(rank, path, bottleneck): up to k paths from s to t, each step to the best-scored unused out-neighbour.
 
     Later paths avoid the inner vertices of former ones.  ``scores(id, product)``.
+    Raises if a path does not end within ``max_steps``.
     """
     spark = g.edges.sparkSession
     used: set[int] = set()
@@ -162,6 +246,8 @@ def greedy_paths(g: Graph, scores: DataFrame, s: int, t: int, k: int = 1, max_st
             path.append(best.dst)
             low = min(low, best["product"])
         if path[-1] != t:
+            if len(path) > max_steps:
+                raise RuntimeError(f"a path of over {max_steps} steps")
             break
         rows.append((rank, path, low))
         if not path[1:-1]:

@@ -11,7 +11,7 @@ from .. import generators, metabolic, propagate, text
 from ..functions import codes
 from ..graph import Graph, successions
 from ..operators import basic, codec, community, info, ordering, overlap, ranking, traversal
-from ..runtime import ship
+from ..runtime import saved, ship, work_dir
 from ..sources import tables
 from ..streaming import ingest
 
@@ -176,19 +176,19 @@ _OV = "ov AS (SELECT a.src AS target_id, b.src AS row_id, count(*) AS overlap FR
 @query("overlap_topk", f"WITH {_CS}, {_OV} SELECT target_id, row_id, overlap FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY overlap DESC, row_id) AS k FROM ov) WHERE k <= 5")
 def overlap_topk(spark, d):
     """Each query set against all rows: the five rows of largest overlap."""
-    rows, targets = _rows(cs(spark, d), 40)
+    rows, targets = _rows(cs(spark, d).kept(), 40)
     return overlap.topk_overlaps(rows, targets, 5).select("target_id", "row_id", "overlap")
 
 
 @query("overlap_best", f"WITH {_CS}, {_OV} SELECT target_id, row_id, overlap FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY overlap DESC, row_id) AS k FROM ov) WHERE k = 1")
 def overlap_best(spark, d):
-    rows, targets = _rows(cs(spark, d), 40)
+    rows, targets = _rows(cs(spark, d).kept(), 40)
     return overlap.best_overlap(rows, targets)
 
 
 @query("overlap_jaccard", f"WITH {_CS}, {_OV}, n AS (SELECT src, count(*) AS n FROM us GROUP BY src) SELECT target_id, row_id, overlap, round(overlap / (a.n + b.n - overlap), 6) AS jaccard FROM ov JOIN n a ON a.src = target_id JOIN n b ON b.src = row_id")
 def overlap_jaccard(spark, d):
-    rows, targets = _rows(cs(spark, d), 40)
+    rows, targets = _rows(cs(spark, d).kept(), 40)
     return overlap.jaccards(rows, targets).select("target_id", "row_id", "overlap", r6("jaccard"))
 
 
@@ -330,11 +330,6 @@ def ordering_metrics(spark, d):
     return info.ordering_metrics(us(spark, d).kept()).select(*[r6(c) for c in ("log_gap", "distance", "interval_share", "ref_overlap", "ref_jaccard", "copy_share")])
 
 
-@query("compressibility")
-def compressibility(spark, d):
-    return info.compressibility(us(spark, d).kept(), 16).select(r6("compressibility"))
-
-
 # ranking -------------------------------------------------------------------
 
 
@@ -368,22 +363,11 @@ def wppr(spark, d):
     return ranking.personalised(g, g.vertices.agg(F.min("id").alias("id")), epsilon=0, max_iter=8, weights=w).select("id", r6("score"))
 
 
-@query("push_ppr")
-def push_ppr(spark, d):
-    g = us(spark, d).kept()
-    return ranking.push(g, g.vertices.agg(F.min("id").alias("id")), epsilon=1e-5).select("id", r6("p"))
-
-
 @query("monte_carlo_pagerank")
 def monte_carlo_pagerank(spark, d):
     return ranking.monte_carlo(us(spark, d).kept(), 4)
 
 
-@query("eigenvector_centrality")
-def eigenvector_centrality(spark, d):
-    return ranking.eigenvector(us(spark, d), 12).select("id", r6("score"))
-
-
 # traversal -----------------------------------------------------------------
 
 
@@ -403,21 +387,9 @@ def strong_components(spark, d):
     return traversal.strong_components(us(spark, d).kept())
 
 
-@query("core_stats")
-def core_stats(spark, d):
-    return basic.basic_stats(traversal.core(us(spark, d).kept())[0]).select("n", "m", r6("density"))
-
-
 @query("k_cores")
 def k_cores(spark, d):
-    return traversal.k_cores(nt(spark, d).kept())
-
-
-@query("shortest_path")
-def shortest_path(spark, d):
-    g = us(spark, d).kept()
-    a, b = g.vertices.agg(F.min("id"), F.max("id")).first()
-    return traversal.shortest_path(g, a, b).select(F.concat_ws(",", F.transform("path", lambda x: x.cast("string"))).alias("path"))
+    return traversal.k_cores(us(spark, d).kept())
 
 
 @query("discovered_paths")
@@ -425,7 +397,7 @@ def discovered_paths(spark, d):
     g = us(spark, d).kept()
     a, b = g.vertices.agg(F.min("id"), F.max("id")).first()
     s = ranking.path_scores(g, a, b, epsilon=0, max_iter=6)
-    return traversal.greedy_paths(g, s.select("id", "product").cache(), a, b, k=2).select("rank", F.concat_ws(",", F.transform("path", lambda x: x.cast("string"))).alias("path"))
+    return traversal.greedy_paths(g, saved(s.select("id", "product"), work_dir(spark, "scores")), a, b, k=2).select("rank", F.concat_ws(",", F.transform("path", lambda x: x.cast("string"))).alias("path"))
 
 
 @query("path_queries")
@@ -537,7 +509,7 @@ def order_bfs(spark, d):
 
 @query("order_rcm")
 def order_rcm(spark, d):
-    return ordering.breadth_first(nt(spark, d), symmetric=True, reverse=True, by_degree=True)
+    return ordering.breadth_first(us(spark, d), symmetric=True, reverse=True, by_degree=True)
 
 
 @query("order_label_propagation")
@@ -552,12 +524,12 @@ def order_bisection(spark, d):
 
 @query("communities_louvain")
 def communities_louvain(spark, d):
-    return community.louvain(nt(spark, d).kept(), levels=2, passes=3)
+    return community.louvain(us(spark, d).kept())
 
 
 @query("communities_leiden")
 def communities_leiden(spark, d):
-    return community.leiden(nt(spark, d).kept(), levels=2, passes=3)
+    return community.leiden(us(spark, d).kept())
 
 
 @query("label_propagation")
@@ -567,7 +539,7 @@ def label_propagation(spark, d):
 
 @query("matching")
 def matching(spark, d):
-    return community.matching(us(spark, d).kept(), 3)
+    return community.matching(us(spark, d).kept())
 
 
 @query("coarse_graph", f"WITH {_NT}, l AS (SELECT n_nationkey::BIGINT AS id, n_regionkey::BIGINT AS label FROM nation) SELECT a.label AS src, b.label AS dst, count(*)::DOUBLE AS w FROM us JOIN l a ON src = a.id JOIN l b ON dst = b.id GROUP BY ALL")
@@ -612,21 +584,6 @@ def bits_per_edge(spark, d):
     return out
 
 
-@query("interval_costs")
-def interval_costs(spark, d):
-    return codec.interval_costs(_one_based(us(spark, d)).kept())
-
-
-@query("copy_costs")
-def copy_costs(spark, d):
-    return codec.copy_costs(_one_based(us(spark, d)).kept())
-
-
-@query("action_choice")
-def action_choice(spark, d):
-    return codec.actions(_one_based(us(spark, d)).kept())
-
-
 @query("huffman_size")
 def huffman_size(spark, d):
     return codec.huffman_bits(us(spark, d))
@@ -646,7 +603,7 @@ def _one_based(g: Graph) -> Graph:
 # text ----------------------------------------------------------------------
 
 _TOK = "tk AS (SELECT doc_id, x[1] AS pos, x[2] AS token FROM (SELECT doc_id, unnest(list_zip(range(len(t)), t)) AS x FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS t FROM documents)))"
-_VOC = "vc AS (SELECT token, n, row_number() OVER (ORDER BY n DESC, token) AS token_id FROM (SELECT token, count(*) AS n FROM tk GROUP BY token ORDER BY n DESC, token LIMIT 200)), ti AS (SELECT doc_id, pos, token_id FROM tk JOIN vc USING (token))"
+_VOC = "vc AS (SELECT token, n, row_number() OVER (ORDER BY n DESC, token) AS token_id FROM (SELECT token, count(*) AS n FROM tk GROUP BY token HAVING count(*) >= 5)), ti AS (SELECT doc_id, pos, token_id FROM tk JOIN vc USING (token))"
 _WIN = "wi AS (SELECT doc_id, pos, list_distinct(list(token_id) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)) AS items FROM ti)"
 
 
@@ -667,7 +624,7 @@ def character_ngrams(spark, d):
 
 def _vocab(spark, d):
     t = text.tokens(table(spark, d, "documents"))
-    return t, text.vocabulary(t, most=200)
+    return t, text.vocabulary(t, 5)
 
 
 @query("ppmi", f"WITH {_TOK}, {_VOC}, {_WIN}, tt AS (SELECT count(*)::DOUBLE AS t FROM wi), o AS (SELECT u, count(*) AS c FROM (SELECT unnest(items) AS u FROM wi) GROUP BY u), pr AS (SELECT u, v, count(*) AS c2 FROM (SELECT u, unnest(items) AS v FROM (SELECT items, unnest(items) AS u FROM wi)) WHERE u < v GROUP BY ALL) SELECT u, v, round(w, 6) AS w FROM (SELECT pr.u, pr.v, ln((c2 / t) / ((a.c / t) * (b.c / t) + 1e-12)) AS w FROM pr JOIN o a ON a.u = pr.u JOIN o b ON b.u = pr.v, tt) WHERE w > 0")
@@ -698,17 +655,6 @@ def hyperedges(spark, d):
     return text.hyperedges(table(spark, d, "documents"), v)
 
 
-@query("collocations")
-def collocations(spark, d):
-    return text.collocations(*_vocab(spark, d), 5)
-
-
-@query("token_locality")
-def token_locality(spark, d):
-    t, v = _vocab(spark, d)
-    return text.locality(t, v.filter("token_id <= 40"), 5)
-
-
 @query("page_links", "SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS href FROM pages")
 def page_links(spark, d):
     return tables.page_links(table(spark, d, "pages"))
@@ -729,12 +675,6 @@ def appnp(spark, d):
     return propagate.appnp(g, g.vertices.select("id", (F.col("id") % 3).cast("double").alias("x")), 5).select("id", r6("x"))
 
 
-@query("generalised_pagerank")
-def generalised_pagerank(spark, d):
-    g = nt(spark, d).kept()
-    return propagate.generalised(g, g.vertices.select("id", (F.col("id") % 3).cast("double").alias("x")), [0.5, 0.3, 0.2]).select("id", r6("x"))
-
-
 @query("degree_features", f"WITH {_US}, {_DEG} SELECT id, round(ln(1 + ind), 6) AS log_in, round(ln(1 + od), 6) AS log_out, round(CASE WHEN ind + od > 0 THEN ind / (ind + od) ELSE 0 END, 6) AS in_share FROM idg JOIN od USING (id)")
 def degree_features(spark, d):
     return propagate.degree_features(us(spark, d)).select("id", r6("log_in"), r6("log_out"), r6("in_share"))

@@ -41,6 +41,63 @@ def generalised(g: Graph, start: DataFrame, weights: list[float]) -> DataFrame:
     return out.withColumnRenamed("y", "x")
 
 
+def directed_matrix(g: Graph, loops: bool = True) -> DataFrame:
+    """(i, j, w): the transposed row-stochastic matrix, with loops unless told otherwise; for scores that follow edges."""
+    e = g.edges
+    if loops:
+        e = e.unionByName(g.vertices.select(F.col("id").alias("src"), F.col("id").alias("dst"))).distinct()
+    d = e.groupBy("src").agg(F.count(F.lit(1)).alias("d"))
+    return e.join(d, "src").select(F.col("dst").alias("i"), F.col("src").alias("j"), (1.0 / F.col("d")).alias("w"))
+
+
+def central(g: Graph, d: int, k: int = 50, alpha: float = 0.15) -> DataFrame:
+    """(id, x): the ``d`` vertices of largest score after ``k`` smoothings of the uniform vector."""
+    n = max(1, g.vertices.count())
+    return appnp(g, g.vertices.select("id", F.lit(1.0 / n).alias("x")), k, alpha).orderBy(F.desc("x"), "id").limit(d)
+
+
+def nonlinear(g: Graph, start: DataFrame, k: int, mix: list[list[float]], alpha: float = 0.15) -> DataFrame:
+    """(id, h): h <- relu((1 - alpha) (A h) W + alpha start), k times; ``start(id, h array<double>)``, W square and literal."""
+    folder = work_dir(g.edges.sparkSession, "nonlinear")
+    a = saved(symmetric_normalised(g), f"{folder}/a")
+    base = saved(start.select("id", F.col("h").alias("b")), f"{folder}/b")
+    size = len(mix)
+    h = base.select("id", F.col("b").alias("h"))
+    w = F.array(*[F.array(*map(F.lit, map(float, column))) for column in zip(*mix)])
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    for i in range(k):
+        near = a.join(h, F.col("j") == F.col("id")).groupBy("i").agg(F.array(*[F.sum(F.col("w") * F.get("h", F.lit(c))) for c in range(size)]).alias("s"))
+        x = base.join(near, F.col("id") == F.col("i"), "left").withColumn("s", F.coalesce("s", F.array(*[F.lit(0.0)] * size)))
+        mixed = F.transform(w, lambda col: dot(F.col("s"), col))
+        h = saved(x.select("id", F.zip_with(mixed, "b", lambda m, b: F.greatest((1 - alpha) * m + alpha * b, F.lit(0.0))).alias("h")), f"{folder}/{i}")
+    return h
+
+
+def gated(g: Graph, seeds: DataFrame, gamma: list[float]) -> DataFrame:
+    """(id, x): the product over hops k of 1 + gamma[k] (A^k seeds): a multiplicative gate from seed mass."""
+    folder = work_dir(g.edges.sparkSession, "gate")
+    a = saved(symmetric_normalised(g), f"{folder}/a")
+    x = g.vertices.join(seeds.select("id", "x"), "id", "left").select("id", F.coalesce("x", F.lit(0.0)).alias("x"))
+    out = g.vertices.select("id", F.lit(1.0).alias("y"))
+    for k, c in enumerate(gamma):
+        if k:
+            x = saved(g.vertices.join(spmv(a, x), "id", "left").select("id", F.coalesce("x", F.lit(0.0)).alias("x")), f"{folder}/{k}")
+        out = out.join(x, "id").select("id", (F.col("y") * (1 + c * F.col("x"))).alias("y"))
+    return out.withColumnRenamed("y", "x")
+
+
+def readout(h: DataFrame, groups: DataFrame, size: int, kind: str = "mean") -> DataFrame:
+    """(graph, h): vectors ``h(id, h)`` pooled over ``groups(graph, id, w)``: mean, max, sum, or mean weighted by w (seed)."""
+    x = groups.join(h, "id")
+    v = lambda c: F.get("h", F.lit(c))
+    pools = {"mean": lambda c: F.avg(v(c)), "max": lambda c: F.max(v(c)), "sum": lambda c: F.sum(v(c)), "seed": lambda c: F.sum(F.col("w") * v(c)) / F.sum("w")}
+    if kind == "seed_multi":  # three pools of one vector in a row
+        cells = [pools[p](c) for p in ("mean", "max", "seed") for c in range(size)]
+    else:
+        cells = [pools[kind](c) for c in range(size)]
+    return x.groupBy("graph").agg(F.array(*cells).alias("h"))
+
+
 def degree_features(g: Graph) -> DataFrame:
     """(id, log_in, log_out, in_share)."""
     d = g.in_degrees().join(g.out_degrees(), "id")

@@ -45,6 +45,8 @@ def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder in the cluster's shared checkpoint folder; removed at exit where it is a local path."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         base = f"file://{tempfile.mkdtemp(prefix='filigraph-')}"
         spark.conf.set("spark.checkpoint.dir", base)
         atexit.register(shutil.rmtree, base[7:], ignore_errors=True)

@@ -19,7 +19,10 @@ RANK = {"outsider": 0, "observer": 1, "sympathizer": 2, "user": 3, "contributor"
 NAMES = {v: k for k, v in RANK.items()}
 LADDER = (0.05, 0.15, 0.30, 0.50, 0.75)
 LAYERS = ("S", "C", "E", "T", "G", "O")
-SNAPSHOT = "sim_id long, t int, n_active int, n_committed int, n_removed int, n_defected int, n_attacked int, fear double, backfire double, commitment double, awareness double, legibility double, giant double, phi double"
+#: What an adaptive host chooses from, and functions that need holders.
+ARMS = ("random", "degree", "infiltration_first", "attrition")
+FUNCTIONS = 8
+SNAPSHOT = "sim_id long, t int, n_active int, n_committed int, n_removed int, n_defected int, n_attacked int, fear double, backfire double, commitment double, awareness double, legibility double, giant double, phi double, outages int, core double, depth double, trust double, growth double, hierarchy double"
 
 
 def topology(kind: str, n: int, seed: int) -> set[tuple[int, int]]:
@@ -92,6 +95,9 @@ class World:
         self.legible, self.capacity, self.hit = np.zeros(n), np.ones(n), np.zeros(n, bool)
         self.recent: list[int] = []
         self.defected = 0
+        self.arm, self.paid, self.last_committed, self.pressure, self.saved = None, np.zeros(len(ARMS)), 0, 0.0, 0.0
+        # eight functions, each of two holders at least, dealt in turn
+        self.holders = [[(2 * f + k) % n for k in range(2)] for f in range(FUNCTIONS)]
 
     def _in(self, layer: str) -> list[list[int]]:
         out: list[list[int]] = [[] for _ in range(self.n)]
@@ -110,24 +116,103 @@ class World:
         return tuple(np.array([sum(c[u] for u in self.before[k][v]) for v in range(self.n)], float) for k in ("S", "C"))
 
     def attack(self) -> list[int]:
+        """The host's turn: whom it hits, and how."""
         live = np.flatnonzero(self.active())
-        if not len(live):
+        if not len(live) or self.host == "none":
             return []
-        if self.host == "degree":
-            size = np.array([len(self.before["S"][v]) for v in live])
-            order = live[np.lexsort((live, -size))]
-        elif self.host == "legibility":
-            order = live[np.lexsort((live, -self.legible[live]))]
-        elif self.host == "none":
-            return []
-        else:
-            order = self.r.permutation(live)
-        hit = [int(v) for v in order[: self.budget]]
+        name = self.host
+        if name == "adaptive":  # an epsilon-greedy bandit over the others, paid by the fall of the committed
+            now = int(self.committed().sum())
+            if self.arm is not None:
+                self.paid[self.arm] = 0.7 * self.paid[self.arm] + 0.3 * (self.last_committed - now)
+            self.last_committed = now
+            self.arm = int(self.r.integers(len(ARMS))) if self.r.random() < 0.1 else int(np.argmax(self.paid))
+            name = ARMS[self.arm]
+        budget = self.budget
+        if name == "attrition":  # pressure grows with the committed share and wears off, fraction by fraction
+            self.pressure = 0.7 * self.pressure + 0.3 * float(self.committed().mean()) * 10
+            self.saved += self.budget * min(1.0, 0.5 + self.pressure)
+            budget = int(self.saved)
+            self.saved -= budget
+        hit = [int(v) for v in self._targets(name, live)[:budget]]
         for v in hit:
-            self.role[v] = RANK["removed"]
-            self.commitment[v] *= 0.5
+            if name == "infiltration_first" and self.role[v] >= RANK["user"] and self.r.random() < 0.5:
+                self.role[v] = RANK["infiltrator"]
+            elif name == "legibility":  # watched first, removed when seen enough
+                self.legible[v] = min(1.0, self.legible[v] + 0.4)
+                if self.legible[v] >= 0.8:
+                    self._remove(v)
+            elif name == "attrition":
+                self.capacity[v] *= 0.5
+                if self.capacity[v] < 0.3:
+                    self._remove(v)
+            else:
+                self._remove(v)
+        if name == "localized" and hit:
+            self._disrupt(hit)
         return hit
 
+    def _remove(self, v: int) -> None:
+        self.role[v] = RANK["removed"]
+        self.commitment[v] *= 0.5
+
+    def _disrupt(self, hit: list[int], each: int = 2) -> None:
+        """Cuts up to ``each`` contacts of those hit."""
+        for v in hit:
+            own = sorted(e for e in self.layers["C"] if v in e)
+            for k in self.r.permutation(len(own))[:each]:
+                a, b = own[k]
+                self.layers["C"].discard((a, b))
+                if a in self.before["C"][b]:
+                    self.before["C"][b].remove(a)
+
+    def _targets(self, name: str, live: np.ndarray) -> np.ndarray:
+        size = np.array([len(self.before["S"][v]) for v in range(self.n)])
+        if name == "degree":
+            return live[np.lexsort((live, -size[live]))]
+        if name == "betweenness":
+            return live[np.lexsort((live, -self._betweenness()[live]))]
+        if name == "legibility":
+            return live[np.lexsort((live, -self.legible[live]))]
+        if name == "localized":  # a neighbourhood: breadth first from the best connected committed
+            c = [v for v in live if self.committed()[v]] or list(live)
+            start = max(c, key=lambda v: (size[v], -v))
+            order, seen, at = [start], {start}, 0
+            while at < len(order):
+                for u in self.before["S"][order[at]]:
+                    if u not in seen and self.active()[u]:
+                        seen.add(u)
+                        order.append(u)
+                at += 1
+            return np.array([*order, *(v for v in live if v not in seen)])
+        if name in ("infiltration_first", "attrition"):
+            return live[np.lexsort((live, -self.commitment[live], -self.committed()[live].astype(int)))]
+        return self.r.permutation(live)
+
+    def _betweenness(self) -> np.ndarray:
+        """Shortest paths through each vertex of S among the active (Brandes' dependencies)."""
+        live, score = self.active(), np.zeros(self.n)
+        near = [[u for u in self.before["S"][v] if live[u]] if live[v] else [] for v in range(self.n)]
+        for s in np.flatnonzero(live):
+            dist, paths, order, back = {int(s): 0}, {int(s): 1.0}, [int(s)], {int(s): []}
+            at = 0
+            while at < len(order):
+                v = order[at]
+                at += 1
+                for u in near[v]:
+                    if u not in dist:
+                        dist[u], paths[u], back[u] = dist[v] + 1, 0.0, []
+                        order.append(u)
+                    if dist[u] == dist[v] + 1:
+                        paths[u] += paths[v]
+                        back[u].append(v)
+            depends = dict.fromkeys(order, 0.0)
+            for v in reversed(order[1:]):
+                for u in back[v]:
+                    depends[u] += paths[u] / paths[v] * (1 + depends[v])
+                score[v] += depends[v]
+        return score
+
     def repression(self, attacked: list[int]) -> int:
         c0, gone = self.committed(), self.role == RANK["removed"]
         vis = len(attacked) / self.n * (1 + len(self.layers["O"]) / max(1, len(self.layers["S"])))
@@ -172,6 +257,7 @@ class World:
         attacked = self.attack()
         risen = self.repression(attacked)
         self.adopt(es, ec)
+        self.refill()
         self.legible = np.clip(self.legible + 0.02 - 0.05 * self.commitment, 0, 1)
         return attacked, risen
 
@@ -190,11 +276,60 @@ class World:
         sizes = np.bincount([root(v) for v in np.flatnonzero(live)], minlength=1)
         return float(sizes.max()) / self.n if live.any() else 0.0
 
+    def refill(self) -> None:
+        """Functions without a holder left go to the most committed who hold least."""
+        live = self.active()
+        load = np.bincount([v for h in self.holders for v in h if live[v]], minlength=self.n)
+        for f, own in enumerate(self.holders):
+            own = [v for v in own if live[v]]
+            free = sorted((v for v in np.flatnonzero(self.committed()) if v not in own), key=lambda v: (load[v], -self.commitment[v], v))
+            while len(own) < 2 and free:
+                own.append(int(free.pop(0)))
+                load[own[-1]] += 1
+            self.holders[f] = own
+
+    def outages(self) -> int:
+        live = self.active()
+        return sum(not any(live[v] for v in h) for h in self.holders)
+
+    def depth(self) -> int:
+        """The deepest core of S among the active, by in + out degree."""
+        live = self.active()
+        near = {int(v): {u for u in self.before["S"][v] if live[u]} for v in np.flatnonzero(live)}
+        k = 0
+        while near:
+            low = [v for v, x in near.items() if 2 * len(x) <= k]
+            if not low:
+                k = min(2 * len(x) for x in near.values())
+                continue
+            for v in low:
+                for u in near.pop(v):
+                    if u in near:
+                        near[u].discard(v)
+        return k
+
+    def order(self) -> dict[str, float]:
+        """The order parameters, each in [0, 1], and their weighted sum."""
+        c, live = self.committed(), self.active()
+        gone = float((self.role == RANK["removed"]).mean())
+        ratio = float(c.mean()) / (gone + 1e-3)
+        t = [(a, b) for a, b in self.layers["T"] if c[a] and c[b]]
+        trust = len(t) / max(1, int(c.sum())) / 4
+        parts = {"core": float(c.sum()) / max(1, int(live.sum())), "giant": self.giant(), "depth": min(1.0, self.depth() / 10), "trust": min(1.0, trust), "growth": ratio / (1 + ratio)}
+        phi = 0.25 * parts["core"] + 0.25 * parts["giant"] + 0.10 * parts["depth"] + 0.20 * parts["trust"] + 0.20 * parts["growth"]
+        return {**parts, "phi": float(np.clip(phi, 0, 1)) if c.any() else 0.0}
+
     def snapshot(self, sim: int, t: int, attacked: int, risen: int) -> tuple:
-        c = self.committed()
-        g = self.giant()
-        phi = float(c.mean() * 0.5 + g * 0.3 + (1 - self.fear.mean()) * 0.2 * (c.any()))
-        return (sim, t, int(self.active().sum()), int(c.sum()), int((self.role == -1).sum()), self.defected, attacked, float(self.fear.mean()), float(self.back.mean()), float(self.commitment.mean()), float(self.aware.mean()), float(self.legible.mean()), g, phi)
+        c, x = self.committed(), self.order()
+        return (sim, t, int(self.active().sum()), int(c.sum()), int((self.role == -1).sum()), self.defected, attacked, float(self.fear.mean()), float(self.back.mean()), float(self.commitment.mean()), float(self.aware.mean()), float(self.legible.mean()), x["giant"], x["phi"],
+                self.outages(), x["core"], x["depth"], x["trust"], x["growth"], hierarchy(np.array([len(b) for b in self.before["S"]])[self.active()]))
+
+
+def hierarchy(weights: np.ndarray) -> float:
+    """The Gini coefficient of influence: 0 where all are alike, towards 1 where one has all."""
+    x = np.sort(np.asarray(weights, float))
+    n, total = len(x), x.sum()
+    return float(2 * (np.arange(1, n + 1) * x).sum() / (n * total) - (n + 1) / n) if n and total else 0.0
 
 
 def run(sims: DataFrame) -> DataFrame:
@@ -259,3 +394,21 @@ def layer_summary(g: Graph) -> DataFrame:
     n, m = g.vertices.agg(F.count(F.lit(1)).alias("n")), g.edges.agg(F.count(F.lit(1)).alias("m"))
     x = n.join(F.broadcast(m)).join(F.broadcast(overlap.average_clustering(g))).join(F.broadcast(traversal.giant_fraction(g)))
     return x.select("n", "m", (F.col("m") / F.col("n")).alias("mean_degree"), F.col("avg_clustering").alias("clustering"), F.col("giant_fraction").alias("giant"))
+
+
+def ablation(spark: SparkSession, hosts: tuple[str, ...], samples: int = 8, n: int = 60, steps: int = 20, seed: int = 7) -> DataFrame:
+    """(host, runs, coexistence, extinction, phi, score): outcomes under each host; score = coexistence + mean phi - extinction."""
+    sims = None
+    for k, h in enumerate(hosts):
+        x = sweep(spark, samples, hosts=(h,), n=n, steps=steps, seed=seed).withColumn("sim_id", F.col("sim_id") + k * samples)
+        sims = x if sims is None else sims.unionByName(x)
+    snaps = run(sims)
+    end = snaps.groupBy("sim_id").agg(F.avg("phi").alias("phi")).join(classes(snaps), "sim_id").join(sims.select("sim_id", "host"), "sim_id")
+    out = end.groupBy("host").agg(F.count(F.lit(1)).alias("runs"), F.avg((F.col("class") == "coexistence").cast("double")).alias("coexistence"), F.avg((F.col("class") == "extinction").cast("double")).alias("extinction"), F.avg("phi").alias("phi"))
+    return out.withColumn("score", F.col("coexistence") + F.col("phi") - F.col("extinction"))
+
+
+def influence(agents: DataFrame, scores: DataFrame) -> DataFrame:
+    """(sim_id, role, share): what part of ``scores(sim_id, id, score)`` each role's members hold."""
+    x = agents.join(scores, ["sim_id", "id"]).groupBy("sim_id", "role").agg(F.sum("score").alias("s"))
+    return x.select("sim_id", "role", (F.col("s") / F.sum("s").over(Window.partitionBy("sim_id"))).alias("share"))

@@ -100,22 +100,117 @@ def hyperedges(docs: DataFrame, vocab: DataFrame, text: str = "text", id_: str =
 
 def collocations(toks: DataFrame, vocab: DataFrame, reach: int) -> DataFrame:
     """(doc_id, u, v, n, d): pairs v within ``reach`` after u, before u's next occurrence; summed distance v - u - 1."""
+    x = _ahead(toks, vocab, reach)
+    return x.groupBy("doc_id", "u", "v").agg(F.count(F.lit(1)).alias("n"), F.sum("d").cast("long").alias("d"))
+
+
+def _ahead(toks: DataFrame, vocab: DataFrame, reach: int) -> DataFrame:
     ids = toks.join(vocab.select("token", "token_id"), "token").select("doc_id", "pos", "token_id")
     w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(1, reach)
     ahead = ids.withColumn("next", F.collect_list("token_id").over(w))
     stop = F.array_position("next", F.col("token_id"))
     near = F.when(stop > 0, F.slice("next", F.lit(1), (stop - 1).cast("int"))).otherwise(F.col("next"))
-    x = ahead.withColumn("near", near).select("doc_id", F.col("token_id").alias("u"), F.posexplode("near").alias("d", "v"))
-    return x.groupBy("doc_id", "u", "v").agg(F.count(F.lit(1)).alias("n"), F.sum("d").cast("long").alias("d"))
+    return ahead.withColumn("near", near).select("doc_id", F.col("token_id").alias("u"), F.posexplode("near").alias("d", "v"))
+
+
+def collocation_weights(toks: DataFrame, vocab: DataFrame, reach: int = 10, power: float = 1.0, width: float = 1.0) -> DataFrame:
+    """(u, v, w): closeness exp(-d^power / width) summed in each document, its share of the document's, and -ln(share) summed."""
+    f = F.exp(-F.pow(F.col("d") + 1.0, power) / width)
+    each = _ahead(toks, vocab, reach).groupBy("doc_id", "u", "v").agg(F.sum(f).alias("f"))
+    whole = each.groupBy("doc_id").agg(F.sum("f").alias("all"))
+    return each.join(whole, "doc_id").groupBy("u", "v").agg(F.sum(-F.log(F.col("f") / F.col("all"))).alias("w"))
+
+
+def _met(ids: DataFrame, near: int) -> DataFrame:
+    """(doc_id, u, v), u < v: tokens of a document at most ``near`` apart."""
+    w = Window.partitionBy("doc_id").orderBy("pos").rangeBetween(-near, near)
+    return ids.withColumn("around", F.collect_set("token_id").over(w)).select("doc_id", F.col("token_id").alias("u"), F.explode("around").alias("v")).filter("u < v").distinct()
 
 
 def locality(toks: DataFrame, vocab: DataFrame, near: int) -> DataFrame:
-    """(u, v, both, close): documents holding both tokens, and those with them at most ``near`` apart."""
+    """(u, v, both, close): documents that hold both tokens, for pairs that are at most ``near`` apart in ``close`` of them.
+
+    Pairs that never meet are not made: what is shuffled grows with the texts' length times ``near``.
+    """
     ids = toks.join(vocab.select("token", "token_id"), "token").select("doc_id", "pos", "token_id")
-    both = ids.select("doc_id", F.col("token_id").alias("u")).distinct().join(ids.select("doc_id", F.col("token_id").alias("v")).distinct(), "doc_id").filter("u < v").groupBy("u", "v").agg(F.count(F.lit(1)).alias("both"))
-    w = Window.partitionBy("doc_id").orderBy("pos").rangeBetween(-near, near)
-    met = ids.withColumn("around", F.collect_set("token_id").over(w)).select("doc_id", F.col("token_id").alias("u"), F.explode("around").alias("v")).filter("u < v").distinct()
-    return both.join(met.groupBy("u", "v").agg(F.count(F.lit(1)).alias("close")), ["u", "v"], "left").select("u", "v", "both", F.coalesce("close", F.lit(0)).alias("close"))
+    close = _met(ids, near).groupBy("u", "v").agg(F.count(F.lit(1)).alias("close"))
+    held = ids.select("doc_id", "token_id").distinct()
+    # both: of each met pair, the documents of the rarer token that hold the other one too
+    df = held.groupBy("token_id").agg(F.count(F.lit(1)).alias("n"))
+    p = close.join(df.withColumnsRenamed({"token_id": "u", "n": "nu"}), "u").join(df.withColumnsRenamed({"token_id": "v", "n": "nv"}), "v")
+    p = p.select("u", "v", "close", F.when(F.col("nu") <= F.col("nv"), F.col("u")).otherwise(F.col("v")).alias("rare"))
+    p = p.withColumn("other", F.when(F.col("rare") == F.col("u"), F.col("v")).otherwise(F.col("u")))
+    x = p.join(held.withColumnRenamed("token_id", "rare"), "rare").join(held.withColumnRenamed("token_id", "other"), ["doc_id", "other"], "left_semi")
+    return x.groupBy("u", "v").agg(F.count(F.lit(1)).alias("both"), F.first("close").alias("close"))
+
+
+def locality_surprise(toks: DataFrame, vocab: DataFrame, near: int = 10, least: int = 3, seed: int = 7) -> DataFrame:
+    """(u, v, w): the share of common documents in which two tokens are near, less that after shuffling each document.
+
+    Pairs with ``least`` common documents or more; only what is above 0 is kept.
+    The shuffle orders a document's places by a hash.
+    """
+    ids = toks.join(vocab.select("token", "token_id"), "token").select("doc_id", "pos", "token_id")
+    a, b = Window.partitionBy("doc_id").orderBy("pos"), Window.partitionBy("doc_id").orderBy(F.xxhash64("doc_id", "pos", F.lit(seed)), "pos")
+    mixed = ids.withColumn("i", F.row_number().over(b)).select("doc_id", "i", "token_id")
+    places = ids.withColumn("i", F.row_number().over(a)).select("doc_id", "i", "pos")
+    shuffled = mixed.join(places, ["doc_id", "i"]).select("doc_id", "pos", "token_id")
+    chance = _met(shuffled, near).groupBy("u", "v").agg(F.count(F.lit(1)).alias("by_chance"))
+    x = locality(toks, vocab, near).filter(F.col("both") >= least).join(chance, ["u", "v"], "left")
+    return x.select("u", "v", ((F.col("close") - F.coalesce("by_chance", F.lit(0))) / F.col("both")).alias("w")).filter("w > 0")
+
+
+def top_per_token(kernel: DataFrame, k: int) -> DataFrame:
+    """(u, v, w), u < v: pairs that are among the ``k`` heaviest of either token; ties go to the smaller other token.
+
+    Each task keeps k pairs a token before the shuffle (a window group limit).
+    """
+    both = kernel.select("u", "v", "w").unionByName(kernel.select(F.col("v").alias("u"), F.col("u").alias("v"), "w"))
+    x = both.withColumn("r", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("w"), "v"))).filter(F.col("r") <= k)
+    return x.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), "w").groupBy(F.col("a").alias("u"), F.col("b").alias("v")).agg(F.max("w").alias("w"))
+
+
+def domain_graph(kernel: DataFrame, n: int, density: float, weighted: bool = False) -> DataFrame:
+    """(u, v, w), u < v: the pairs as heavy as the one of rank round(density n (n - 1) / 2), ties kept; weight 1 or the kernel's.
+
+    The threshold comes from counts by weight, so that no task sorts all pairs.
+    """
+    rank = int(density * n * (n - 1) / 2 + 0.5)
+    if rank <= 0:
+        return kernel.select("u", "v", "w").limit(0)
+    from .graph import numbered
+
+    counts = numbered(kernel.groupBy("w").agg(F.count(F.lit(1)).alias("k")), [-F.col("w")], "place")
+    from .runtime import saved, work_dir
+
+    counts = saved(counts, work_dir(kernel.sparkSession, "weights"))
+    lo, hi = 1, counts.count()
+    while lo < hi:  # the first place that reaches the rank, by halves
+        mid = (lo + hi) // 2
+        if (counts.filter(F.col("place") <= mid).agg(F.sum("k")).first()[0] or 0) >= rank:
+            hi = mid
+        else:
+            lo = mid + 1
+    limit = counts.filter(F.col("place") == lo).select(F.col("w").alias("limit"))
+    w = F.col("w") if weighted else F.lit(1.0)
+    return kernel.join(F.broadcast(limit), F.col("w") >= F.col("limit")).select("u", "v", w.alias("w"))
+
+
+def stem(word: Column) -> Column:
+    """A light suffix stripper: one long suffix, then short ones, then i for y and doubled ends; never below three letters.
+
+    Long: -ational and the like to a shorter form; short: -ies, -ied, -ing, -ed, -ly, -es, -s.
+    """
+    long_ = {"ational": "ate", "ization": "ize", "fulness": "ful", "iveness": "ive", "ousness": "ous", "tional": "tion", "ement": "", "ment": "", "ness": "", "able": "", "ible": ""}
+    w = F.lit(None).cast("string")
+    for end, short in reversed(long_.items()):
+        cut = F.concat(word.substr(F.lit(1), F.length(word) - len(end)), F.lit(short))
+        w = F.when(word.endswith(end) & (F.length(word) > len(end) + 2), cut).otherwise(w)
+    w = F.coalesce(w, word)
+    short_ = ((r"^(.{3,})(?:ies|ied)$", "$1i"), (r"^(.{3,})(?:ing|ed|ly)$", "$1"), (r"^(.{3,}?)(?:es|s)$", "$1"), (r"^(.{2,})([^slz])\2$", "$1$2"), (r"^(.{2,})y$", "$1i"))
+    for pattern, to in short_:
+        w = F.regexp_replace(w, pattern, to)
+    return w
 
 
 def balanced_split(docs: DataFrame, by: str, share: float = 0.2, seed: int = 7) -> DataFrame:

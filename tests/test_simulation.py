@@ -1,3 +1,4 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from filigraph import generators, simulation
@@ -48,3 +49,31 @@ def test_multigrid_converges(spark):
     r0 = multigrid.residual_norm(levels[0][0], b, x)
     x = multigrid.v_cycle(levels, b, x)
     assert multigrid.residual_norm(levels[0][0], b, x) < 0.5 * r0
+
+
+def test_hosts_and_order_parameters(spark):
+    for host in ("random", "degree", "betweenness", "legibility", "localized", "infiltration_first", "attrition", "adaptive", "none"):
+        w = simulation.World("modular_cells", 40, 3, committed=0.3, host=host, budget=3)
+        for _ in range(6):
+            w.step()
+        x = w.order()
+        assert all(0 <= v <= 1 for v in x.values()) and 0 <= w.outages() <= simulation.FUNCTIONS
+    w = simulation.World("mesh", 12, 1)
+    w.role[:] = simulation.RANK["user"]
+    w.before["S"] = [[u for u in (v - 1, v + 1) if 0 <= u < 12] for v in range(12)]
+    assert int(np.argmax(w._betweenness())) in (5, 6) and w.depth() == 2
+    assert simulation.hierarchy(np.ones(5)) == 0 and simulation.hierarchy(np.array([0, 0, 0, 1])) == 0.75
+    out = simulation.ablation(spark, ("random", "degree"), samples=2, n=20, steps=4).collect()
+    assert {r.host for r in out} == {"random", "degree"} and all(r.runs == 2 for r in out)
+
+
+def test_generators_with_communities(spark):
+    g, lab = generators.lfr(spark, 400, mixing=0.2)
+    a = g.edges.join(lab.toDF("src", "a"), "src").join(lab.toDF("dst", "b"), "dst")
+    share = a.filter("a = b").count() / a.count()
+    assert lab.count() == 400 and 0.6 < share < 0.95
+    sizes = [r["count"] for r in lab.groupBy("label").count().collect()]
+    assert min(sizes) >= 20
+    h, _ = generators.modular_hubs(spark, 60, 3)
+    assert h.vertices.count() == 60 and h.edges.filter("src = dst").count() == 0
+    assert [k for k, _ in generators.training_batch(spark, 20, 40, 4)] == ["random", "scale_free", "blocks", "web"]
