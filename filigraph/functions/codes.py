@@ -6,7 +6,8 @@ for positive integers give null for 0 and below.
 
 from __future__ import annotations
 
-import numpy as np
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -101,32 +102,56 @@ def delta_word(v: Column) -> Column:
 
 
 class Bits:
-    """A growing string of bits, most significant first."""
+    """A growing string of bits, most significant first; reads move ``at`` on."""
 
     def __init__(self, data: bytes | None = None, size: int | None = None):
-        self.bits = [] if data is None else np.unpackbits(np.frombuffer(data, np.uint8)).tolist()[:size]
-        self.at = 0
+        self._parts: list[str] = []
+        self._size, self.at = 0, 0
+        if data:
+            text = bin(int.from_bytes(b"\x01" + data))[3:][:size]
+            self._parts, self._size = [text], len(text)
+
+    def __len__(self) -> int:
+        return self._size
+
+    @property
+    def text(self) -> str:
+        if len(self._parts) != 1:
+            self._parts = ["".join(self._parts)]
+        return self._parts[0]
+
+    @property
+    def bits(self) -> list[int]:
+        return list(map(int, self.text))
 
     def put(self, value: int, width: int) -> None:
-        self.bits.extend((value >> i) & 1 for i in range(width - 1, -1, -1))
+        if width:
+            self._parts.append(f"{value & ((1 << width) - 1):0{width}b}")
+            self._size += width
+
+    def extend(self, other: Bits) -> None:
+        self._parts.append(other.text)
+        self._size += len(other)
 
     def take(self, width: int) -> int:
-        v = 0
-        for b in self.bits[self.at : self.at + width]:
-            v = v << 1 | b
-        if self.at + width > len(self.bits):
+        end = self.at + width
+        if end > self._size:
             raise EOFError("out of bits")
-        self.at += width
+        v = int(self.text[self.at : end] or "0", 2)
+        self.at = end
         return v
 
     def zeros(self) -> int:
-        n = 0
-        while not self.take(1):
-            n += 1
+        """Zeros up to the next one, which is taken too."""
+        one = self.text.find("1", self.at)
+        if one < 0:
+            raise EOFError("out of bits")
+        n, self.at = one - self.at, one + 1
         return n
 
     def bytes(self) -> bytes:
-        return np.packbits(np.array(self.bits, np.uint8)).tobytes()
+        n = -(-self._size // 8)
+        return (int(self.text or "0", 2) << (8 * n - self._size)).to_bytes(n) if n else b""
 
 
 def _positive(v: int) -> None:
@@ -134,7 +159,24 @@ def _positive(v: int) -> None:
         raise ValueError("only positive integers have a code word")
 
 
+@functools.lru_cache(1 << 17)
+def _word(v: int, code: str) -> str:
+    w = Bits()
+    _write(w, v, code)
+    return w.text
+
+
 def write(w: Bits, v: int, code: str, **p) -> None:
+    """Append the code word of a number; words of small numbers are kept."""
+    if p or not 0 <= v < 1 << 16:
+        _write(w, v, code, **p)
+    else:
+        word = _word(v, code)
+        w._parts.append(word)
+        w._size += len(word)
+
+
+def _write(w: Bits, v: int, code: str, **p) -> None:
     if code == "unary":
         w.put(0, v), w.put(1, 1)
     elif code == "gamma":

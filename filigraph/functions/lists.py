@@ -24,7 +24,7 @@ def cost(f: Callable, *args, **how) -> int:
     """The bits that ``f(w, ...)`` writes."""
     w = Bits()
     f(w, *args, **how)
-    return len(w.bits)
+    return len(w)
 
 
 # counts ------------------------------------------------------------------------

@@ -177,9 +177,9 @@ def encode_lists(lists: list[tuple[int, list[int]]], code: str, window: int) ->
             for x in rest:
                 codes.write(b, x - last, code)
                 last = x
-            if best is None or len(b.bits) < best[0]:
-                best = len(b.bits), b
-        w.bits.extend(best[1].bits)
+            if best is None or len(b) < best[0]:
+                best = len(b), b
+        w.extend(best[1])
         past.append(nbrs)
     return w.bytes()
 

@@ -75,21 +75,14 @@ def read_rest(r: Bits, how: str, code: str, near: int) -> list[int]:
     return lists.read_intervals(r, code, int(how[-1]), near, how.startswith("sides"))
 
 
-def _written(parts: dict[str, Bits]) -> int:
-    return sum(len(b.bits) for b in parts.values())
-
-
-def _candidate(v: int, xs: list[int], refs: list[tuple[int, list[int]]], how: str, o: Options) -> dict[str, Bits]:
-    """A record in its parts: header, reference, copy, rest."""
-    parts = {k: Bits() for k in ("header", "reference", "copy", "rest")}
-    header(parts["header"], (len(refs), how))
-    left = xs
+def _referred(xs: list[int], refs: list[tuple[int, list[int]]]) -> tuple[Bits, Bits, list[int]]:
+    """The reference and copy parts of a record, and what is left of the list."""
+    reference, copy, left = Bits(), Bits(), xs
     for d, ref in refs:
-        write(parts["reference"], d, "gamma")
+        write(reference, d, "gamma")
         copied, left = lists.split_reference(left, ref)
-        lists.write_copy(parts["copy"], copied, "gamma")
-    write_rest(parts["rest"], left, how, o.code, v)
-    return parts
+        lists.write_copy(copy, copied, "gamma")
+    return reference, copy, left
 
 
 def record(v: int, xs: list[int], past: list[list[int]], o: Options) -> tuple[dict[str, Bits], tuple]:
@@ -110,24 +103,30 @@ def record(v: int, xs: list[int], past: list[list[int]], o: Options) -> tuple[di
                 choices.append([(d, ref), (-second[1], second[2])])
     best = None
     for refs in choices:
+        reference, copy, left = _referred(xs, refs)
         for how in ENCODINGS:
-            if (len(refs), how) in HEADERS:
-                parts = _candidate(v, xs, refs, how, o)
-                size = _written(parts)
-                if best is None or size < best[0]:
-                    best = size, parts, (len(refs), how)
-    return best[1], best[2]
+            mode = len(refs), how
+            if mode not in HEADERS or best and len(reference) + len(copy) + len(HEADERS[mode]) >= best[0]:
+                continue
+            rest = Bits()
+            write_rest(rest, left, how, o.code, v)
+            size = len(HEADERS[mode]) + len(reference) + len(copy) + len(rest)
+            if best is None or size < best[0]:
+                best = size, {"reference": reference, "copy": copy, "rest": rest}, mode
+    w = Bits()
+    header(w, best[2])
+    return {"header": w, **best[1]}, best[2]
 
 
 def encode(first: int, rows: list[list[int]], o: Options = Options()) -> tuple[bytes, list[int], list[tuple]]:
     """Bits, each record's offset, and for each record (mode, bits by part)."""
     out, offsets, chosen = Bits(), [], []
     for k, xs in enumerate(rows):
-        offsets.append(len(out.bits))
+        offsets.append(len(out))
         parts, mode = record(first + k, xs, rows[max(0, k - o.window) : k], o)
         for b in parts.values():
-            out.bits += b.bits
-        chosen.append((mode, {k: len(b.bits) for k, b in parts.items()}))
+            out.extend(b)
+        chosen.append((mode, {k: len(b) for k, b in parts.items()}))
     return out.bytes(), offsets, chosen
 
 
@@ -214,7 +213,7 @@ def neighbours(chunks: DataFrame, ids: DataFrame, o: Options = Options()) -> Dat
 
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "nbrs": [lookup(d, list(at), int(f), int(v), o.code) if v - f < len(at) else [] for v, f, d, at in zip(pdf["id"], pdf["first"], pdf["data"], pdf["offsets"])]})
+            yield pd.DataFrame({"id": pdf["id"], "nbrs": [lookup(d, list(map(int, at)), int(f), int(v), o.code) if v - f < len(at) else [] for v, f, d, at in zip(pdf["id"], pdf["first"], pdf["data"], pdf["offsets"])]})
 
     wanted = ids.select("id").distinct().withColumn("chunk", F.floor(F.col("id") / o.chunk))
     return wanted.join(chunks, "chunk").select("id", "first", "data", "offsets").mapInPandas(run, "id long, nbrs array<long>")

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .. import propagate, text
+from .. import generators, propagate, text
 from ..functions import codes
 from ..graph import Graph
 from ..operators import basic, codec, coder, community, info, overlap, traversal
-from ..sources import tables  # noqa: F401
 from .queries import _CS, _DEG, _FIBL, _TOK, _US, _VOC, _WIN, _one_based, _vocab, cs, query, r6, table, us
 
 _US1 = _US.replace("u AS src, v AS dst", "u + 1 AS src, v + 1 AS dst")
@@ -88,6 +87,15 @@ def list_coder_budget(spark, d):
     return coder.budget(us(spark, d))
 
 
+@query("web_graph_bits")
+def web_graph_bits(spark, d):
+    """(m, bits_per_edge): a seeded web graph of 10,000 vertices and 12 links each, by the list coder; smaller is better."""
+    g = generators.web_graph(spark, 10_000, 12).kept()
+    g = Graph(g.edges.select((F.col("src") - 1).alias("src"), (F.col("dst") - 1).alias("dst")), g.vertices.select((F.col("id") - 1).alias("id")))
+    x = coder.encoded(g, coder.Options(window=64, chunk=512)).agg(F.sum("m").alias("m"), F.sum(F.length("data")).alias("b"))
+    return x.select("m", F.round(8 * F.col("b") / F.col("m"), 3).alias("bits_per_edge"))
+
+
 @query("entropy_coder_round_trip", f"WITH {_US} SELECT src, dst FROM us")
 def entropy_coder_round_trip(spark, d):
     return coder.entropy_decoded(coder.entropy_coded(us(spark, d)))

@@ -269,3 +269,17 @@ def test_walks_follow_edges(two_cliques):
         assert all((at[k], at[k[0], k[1] + 1]) in e for k in at if k[1] < 3)
     assert traversal.uniform_sample(two_cliques, 50).count() == 50
     assert traversal.approximate_diameter(two_cliques) == 3
+
+
+def test_large_path_queries_walk_over_the_tables(spark):
+    import random
+
+    r = random.Random(4)
+    e = {(r.randrange(30), r.randrange(30)) for _ in range(140)}
+    g = Graph.of(spark.createDataFrame(list(e), "src long, dst long"), spark.range(30)).kept()
+    from filigraph.operators import paths
+
+    scores = spark.createDataFrame([(0, v, r.random() * (v % 4 > 0)) for v in range(30)], "query long, id long, product double").filter("id <> 29")
+    for method in ("decayed", "bottlenecks"):
+        a, b = (rows(paths.discover(g, scores, [(0, 29)], method, k=4, top=top).withColumn("low", F.round("low", 9))) for top in (1000, 3))
+        assert a and [x[:3] for x in a] == [x[:3] for x in b]
