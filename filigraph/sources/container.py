@@ -2,8 +2,12 @@
 
 A file holds chunks of consecutive vertices: magic, version, code, chunk size, then
 for each chunk its number, first vertex, vertex and edge counts, and the length of
-its bits; the bits follow.  One file is one input partition; a filter on ``id`` for a
-single vertex is pushed down, so that a lookup decodes one chunk.  The writer takes
+its bits; the bits follow.  Codes: an integer code (gaps, with one reference), ``plain``
+(degrees and ids of fixed width, big-endian), ``coder`` (the list coder, with the offset
+of each record), ``entropy`` (adaptive range coding), ``huffman`` (words by the chunk's
+own frequencies).  One file is one input partition; a filter on ``id`` for a single
+vertex is pushed down, so that a lookup decodes one chunk, or with ``coder`` and ``plain``
+only the records needed.  The writer takes
 (id, nbrs) rows and expects them partitioned by chunk (see ``write``).
 """
 
@@ -13,21 +17,94 @@ import glob
 import os
 import struct
 import uuid
+from collections import Counter
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, InputPartition, WriterCommitMessage
 
+from ..functions import entropy
+from ..functions import lists as kernels
+from ..functions.codes import Bits
 from ..graph import Graph
+from ..operators import coder
 from ..operators.codec import decode_lists, encode_lists
 from ..runtime import local_path, ship
 
 MAGIC = b"FGC1"
-CODES = ("gamma", "delta", "fibonacci", "zeta")
+INTEGER = ("gamma", "delta", "fibonacci", "zeta")
+CODES = (*INTEGER, "plain", "coder", "entropy", "huffman")
 _FILE, _CHUNK = struct.Struct("<4sBII"), struct.Struct("<QQIQI")
 
 
+def packed(lists: list[tuple[int, list[int]]], code: str, window: int) -> bytes:
+    """The lists of consecutive vertices as a chunk's bytes."""
+    if code in INTEGER:
+        return encode_lists(lists, code, window)
+    first, rows = lists[0][0], [x for _, x in lists]
+    if code == "coder":
+        data, at, _ = coder.encode(first, rows, coder.Options(window=window))
+        return np.array([len(at), *at], "<u4").tobytes() + data
+    if code == "plain":
+        width = max(1, (max((x[-1] for x in rows if x), default=0).bit_length() + 7) // 8)
+        return bytes([width]) + np.array([len(x) for x in rows], ">u4").tobytes() + b"".join(v.to_bytes(width) for x in rows for v in x)
+    if code == "entropy":
+        e = entropy.NumberEncoder()
+        for k, xs in enumerate(rows):
+            e.contexts.reset()
+            e.put(len(xs))
+            for j, x in enumerate(xs):
+                e.put(x - xs[j - 1] - 1 if j else kernels.zigzag(x - first - k))
+        return e.finish()
+    w = Bits()
+    tree = entropy.huffman_tree(Counter(v for x in rows for v in x))
+    w.put(int(tree is not None), 1)
+    if tree is not None:
+        entropy.write_tree(w, tree)
+        words = entropy.huffman_codes(tree)
+        for xs in rows:
+            kernels.write_small(w, len(xs), "gamma")
+            entropy.write_huffman(w, xs, words)
+    return w.bytes()
+
+
+def unpacked(data: bytes, first: int, n: int, code: str, only: int | None = None) -> list[tuple[int, list[int]]]:
+    """The lists of a chunk; where ``only`` names a vertex, codes with an index give just its list."""
+    if code in INTEGER:
+        return decode_lists(data, first, n, code)
+    if only is not None and not first <= only < first + n:
+        return []
+    if code == "coder":
+        k = int.from_bytes(data[:4], "little")
+        at, bits = np.frombuffer(data, "<u4", k, 4).tolist(), data[4 + 4 * k :]
+        if only is not None:
+            return [(only, coder.lookup(bits, at, first, only))]
+        return list(enumerate(coder.decode(bits, first, n), first))
+    if code == "plain":
+        width, degrees = data[0], np.frombuffer(data, ">u4", n, 1)
+        ends = np.cumsum(degrees, dtype=np.int64).tolist()
+        body = 1 + 4 * n
+        read = lambda k: [int.from_bytes(data[body + i * width : body + (i + 1) * width]) for i in range(ends[k] - int(degrees[k]), ends[k])]
+        return [(first + k, read(k)) for k in (range(n) if only is None else [only - first])]
+    out: list[tuple[int, list[int]]] = []
+    if code == "entropy":
+        d = entropy.NumberDecoder(data)
+        for k in range(n):
+            d.contexts.reset()
+            xs: list[int] = []
+            for _ in range(d.take()):
+                xs.append(xs[-1] + 1 + d.take() if xs else first + k + kernels.unzigzag(d.take()))
+            out.append((first + k, xs))
+        return out
+    r = Bits(data)
+    if not r.take(1):
+        return [(first + k, []) for k in range(n)]
+    tree = entropy.read_tree(r)
+    return [(first + k, entropy.read_huffman(r, tree, kernels.read_small(r, "gamma"))) for k in range(n)]
+
+
 @dataclass
 class Part(InputPartition):
     path: str
@@ -68,7 +145,7 @@ class ContainerReader(DataSourceReader):
                 data = f.read(length)
                 if len(data) != length:
                     raise ValueError(f"{part.path} is truncated")
-                for v, nbrs in decode_lists(data, first, k, CODES[code]):
+                for v, nbrs in unpacked(data, first, k, CODES[code], self.only):
                     yield v, nbrs
 
 
@@ -88,7 +165,7 @@ class ContainerWriter(DataSourceWriter):
             for c in sorted(chunks):
                 own, first = chunks[c], c * self.size
                 lists = [(first + i, own.get(first + i, [])) for i in range(max(own) - first + 1)]
-                data = encode_lists(lists, self.code, self.window)
+                data = packed(lists, self.code, self.window)
                 m = sum(len(x) for _, x in lists)
                 edges += m
                 f.write(_CHUNK.pack(c, first, len(lists), m, len(data)) + data)

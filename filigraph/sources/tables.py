@@ -111,3 +111,48 @@ def write_edge_csv(edges: DataFrame, path: str, separator: str = ",") -> None:
 
 def write_tsv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, sep="\t", header=True)
+
+
+def tuples(spark: SparkSession, path: str, members: int, width: int = 4) -> DataFrame:
+    """(m1 .. mk) of binary files of big-endian tuples; a cut-off last tuple raises."""
+    import pandas as pd
+
+    names = [f"m{i}" for i in range(1, members + 1)]
+
+    def read(batches):
+        import numpy as np
+
+        for pdf in batches:
+            for data in pdf["content"]:
+                if len(data) % (members * width):
+                    raise ValueError("a file of cut-off tuples")
+                x = np.frombuffer(data, f">u{width}").reshape(-1, members).astype(np.int64)
+                yield pd.DataFrame(x, columns=names)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(read, ", ".join(f"{n} long" for n in names))
+
+
+def write_metabolic(metabolites: DataFrame, edges: DataFrame, path: str) -> None:
+    """Edges as ``source,target`` and ``metabolites(id, bigg_id, name)``, commas in names as semicolons, in two folders."""
+    write_edge_csv(edges, f"{path}_edges")
+    names = metabolites.select("id", "bigg_id", F.regexp_replace("name", ",", ";").alias("name"))
+    names.write.mode("overwrite").csv(f"{path}_metabolites", header=True)
+
+
+def save_state(path: str, epoch: int, accuracy: float, loss: float, **arrays) -> None:
+    """Arrays and progress of a training run, in one file that replaces the last in one step."""
+    import os
+    import uuid
+
+    import numpy as np
+
+    part = f"{path}.{uuid.uuid4().hex}.npz"
+    np.savez(part, epoch=epoch, accuracy=accuracy, loss=loss, **arrays)
+    os.replace(part, path)
+
+
+def load_state(path: str) -> dict:
+    import numpy as np
+
+    with np.load(path) as z:
+        return {k: z[k] if z[k].ndim else z[k].item() for k in z.files}

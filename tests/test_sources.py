@@ -69,6 +69,63 @@ def test_stream(spark, tmp_path):
     assert batch.select(F.sum("n")).first()[0] == 1
 
 
+def test_chunk_codes():
+    import random
+
+    from filigraph.sources import container
+
+    r = random.Random(3)
+    lists = [(300 + i, sorted(r.sample(range(2000), r.choice([0, 0, 1, 3, 9, 40])))) for i in range(60)]
+    lists[5] = (305, lists[4][1])
+    for code in container.CODES:
+        data = container.packed(lists, code, 7)
+        assert container.unpacked(data, 300, 60, code) == lists, code
+        assert lists[17] in container.unpacked(data, 300, 60, code, 317), code
+        if code in ("plain", "coder"):
+            assert container.unpacked(data, 300, 60, code, 317) == [lists[17]] and container.unpacked(data, 300, 60, code, 400) == []
+    empty = [(0, []), (1, [])]
+    assert all(container.unpacked(container.packed(empty, c, 7), 0, 2, c) == empty for c in container.CODES)
+
+
+def test_containers_of_every_kind(spark, tmp_path):
+    from filigraph import generators
+    from filigraph.sources import container
+
+    g = generators.web_graph(spark, 150, 6).kept()
+    want = {r.id: r.nbrs for r in g.neighbour_lists().collect()}
+    for code in ("plain", "coder", "entropy", "huffman"):
+        path = str(tmp_path / code)
+        container.write(g, path, code, chunk=64, files=2)
+        got = {r.id: r.nbrs for r in container.read(spark, path).collect() if r.id}
+        assert got == want, code
+        assert [r.nbrs for r in container.read(spark, path).filter("id = 77").collect()] == [want[77]]
+
+
+def test_tuples_and_states(spark, tmp_path):
+    import numpy as np
+
+    (tmp_path / "t.bin").write_bytes(np.array([[1, 2], [2, 3], [1, 2]], ">u4").tobytes())
+    assert sorted(map(tuple, tables.tuples(spark, str(tmp_path / "t.bin"), 2).collect())) == [(1, 2), (1, 2), (2, 3)]
+    p = str(tmp_path / "state.npz")
+    for epoch in (1, 2):
+        tables.save_state(p, epoch, 0.5, 1.25, w=np.arange(3))
+    s = tables.load_state(p)
+    assert (s["epoch"], s["accuracy"], s["loss"], s["w"].tolist()) == (2, 0.5, 1.25, [0, 1, 2])
+    tables.write_metabolic(spark.createDataFrame([(1, "x_c", "a, b")], "id long, bigg_id string, name string"), spark.createDataFrame([(1, 2)], "src long, dst long"), str(tmp_path / "m"))
+    assert spark.read.csv(str(tmp_path / "m_metabolites"), header=True).first().name == "a; b"
+
+
+def test_conditions_and_sampled_fluxes(spark):
+    rows = [("EX_glc__D_e", "g", -1.0, -5.0, 0.0), ("up", "g", -1.0, 0.0, 100.0), ("up", "p", 1.0, 0.0, 100.0), ("out", "p", -1.0, 0.0, 100.0), ("alt", "g", -1.0, 0.0, 1.0), ("alt", "p", 1.0, 0.0, 1.0)]
+    s = spark.createDataFrame(rows, "rxn string, met string, coeff double, lb double, ub double")
+    c = metabolic.with_condition(s, "aerobic_glucose")
+    assert {r.rxn: r.lb for r in c.collect()}["EX_glc__D_e"] == -10.0
+    best = {r.rxn: r.flux for r in metabolic.flux_balance(c, "out").collect()}
+    assert abs(best["out"] - 10) < 1e-6
+    mean = {r.rxn: r.flux for r in metabolic.flux_sampled(c, "out", 6).collect()}
+    assert 9.5 - 1e-6 <= mean["out"] <= 10 + 1e-6 and abs(mean["up"] + mean["alt"] - mean["out"]) < 1e-6
+
+
 def test_container_files(spark, tmp_path):
     from filigraph.generators import watts_strogatz
     from filigraph.sources import container
