@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..graph import Graph
@@ -314,6 +314,50 @@ def scored_walks(g: Graph, start: DataFrame, scores: DataFrame, steps: int, seed
     return out.select("walk", "step", "id")
 
 
+def drawn_place(weights: Column, u: Column) -> Column:
+    """The place (from 0) of an array of weights that a uniform ``u`` falls on; -1 without a positive weight."""
+    total = F.aggregate(weights, F.lit(0.0), lambda a, w: a + w)
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(-1).alias("at"), F.lit(0).alias("i"))
+
+    def step(a: Column, w: Column) -> Column:
+        upto = a["sum"] + w
+        here = (a["at"] < 0) & (w > 0) & (u * total < upto)
+        return F.struct(upto.alias("sum"), F.when(here, a["i"]).otherwise(a["at"]).alias("at"), (a["i"] + 1).alias("i"))
+
+    return F.when(total > 0, F.aggregate(weights, start, step)["at"]).otherwise(-1)
+
+
+def clustering_walks(g: Graph, start: DataFrame, steps: int, seed: int = 7) -> DataFrame:
+    """(walk, step, id): walks drawn towards clustered vertices, those without a coefficient counting as the largest one."""
+    from .overlap import clustering_coefficients
+
+    c = clustering_coefficients(g).select("id", F.col("coefficient").alias("c"))
+    top = c.agg(F.max("c").alias("top"))
+    return scored_walks(g, start, c.join(F.broadcast(top)).select("id", F.when(F.col("c") > 0, F.col("c")).otherwise(F.col("top")).alias("s")), steps, seed)
+
+
+def walk_ball(g: Graph, start: int, size: int, jump: float = 0.15, seed: int = 7, rounds: int = 1000) -> DataFrame:
+    """(id): ``size`` vertices gathered by walkers that move towards clustered vertices and jump back to the first one.
+
+    A walker a vertex found so far; each round they all step, and what is new is kept in
+    the order of a hash until the size is reached, or nothing is left to reach.
+    """
+    folder = work_dir(g.edges.sparkSession, "ball")
+    ball = saved(g.edges.sparkSession.createDataFrame([(start, 0)], "id long, round int"), f"{folder}/0")
+    still = 0
+    for k in range(1, rounds + 1):
+        n = ball.count()
+        if n >= size or still > 20:
+            return ball.select("id")
+        at = ball.withColumn("walk", F.when(F.shiftrightunsigned(F.xxhash64("id", F.lit(seed + k)), 11) / float(1 << 53) < jump, F.lit(start)).otherwise(F.col("id")))
+        race = at.join(g.edges, F.col("walk") == F.col("src")).select("id", "dst").withColumn("h", F.xxhash64("id", "dst", F.lit(seed * 31 + k)))
+        to = race.groupBy("id").agg(F.min_by("dst", "h").alias("to")).select(F.col("to").alias("id")).distinct().join(ball, "id", "left_anti")
+        new = to.orderBy(F.xxhash64("id", F.lit(seed + k)), "id").limit(size - n).withColumn("round", F.lit(k))
+        before, ball = ball, saved(ball.unionByName(new), f"{folder}/{k}")
+        still = still + 1 if ball.count() == n else 0
+    raise RuntimeError(f"the ball did not grow to {size} vertices in {rounds} rounds")
+
+
 def uniform_sample(g: Graph, n: int, seed: int = 7) -> DataFrame:
     """n vertices drawn uniformly with replacement (ids are numbered first)."""
     from ..graph import numbered

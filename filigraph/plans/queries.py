@@ -514,12 +514,12 @@ def order_rcm(spark, d):
 
 @query("order_label_propagation")
 def order_label_propagation(spark, d):
-    return ordering.label_propagation_order(us(spark, d).kept(), layers=2, passes=2)
+    return ordering.label_propagation_order(us(spark, d).kept())
 
 
 @query("order_bisection")
 def order_bisection(spark, d):
-    return ordering.recursive_bisection(us(spark, d).kept(), depth=2, passes=2)
+    return ordering.recursive_bisection(us(spark, d).kept())
 
 
 @query("communities_louvain")
