@@ -30,15 +30,15 @@ import base64
 import functools
 import hashlib
 import heapq
-import json
 import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.classic.column import Column as ClassicColumn
 
-from .common import BPE_FAST, BPE_PATTERN, BPE_RARE, arrow_fn, bpe_pattern, map_file, put_file, small_batches, work_dir
+from .common import BPE_FAST, BPE_PATTERN, BPE_RARE, arrow_fn, bpe_pattern, map_file, put_file, release, released, small_batches, work_dir
 
 FOLD_BYTES = 2048
 SPREAD = 2097143  # a prime; its product with a pair of ids fits in a long
@@ -51,8 +51,8 @@ def ranks(path: str) -> dict[bytes, int]:
 
 
 @functools.lru_cache(2)
-def _table(path: str) -> tuple[int, str]:
-    """Bits of a token id, and the rank map as JSON: t (entries), d (by bucket, what is taken off the table's size), b (ids of bytes)."""
+def _table(path: str) -> tuple[int, list[int], list[int], list[int]]:
+    """Bits of a token id, and the rank map: its entries, by bucket the modulus that addresses them, and the ids of bytes."""
     rank = ranks(path)
     bits = max(rank.values()).bit_length()
     if bits > 20:
@@ -79,13 +79,24 @@ def _table(path: str) -> tuple[int, str]:
         moved[at] = off
         for x, key in zip(places, buckets[at]):
             table[x] = key << bits | entries[key]
-    return bits, json.dumps({"t": table, "d": [size - x for x in moved], "b": [rank.get(bytes([x]), 0) for x in range(256)]}, separators=(",", ":"))
+    return bits, table, [size - x for x in moved], [rank.get(bytes([x]), 0) for x in range(256)]
+
+
+def _literal(values: list[int]) -> Column:
+    """An array<bigint> literal, handed over as bytes: one of JSON text would be in every print of the plan."""
+    sc = SparkSession.active().sparkContext
+    jvm, longs = sc._jvm, sc._gateway.new_array(sc._jvm.long, len(values))
+    jvm.java.nio.ByteBuffer.wrap(bytearray(np.array(values, ">i8").tobytes())).asLongBuffer().get(longs)
+    array = jvm.org.apache.spark.sql.catalyst.expressions.UnsafeArrayData.fromPrimitiveArray(longs)
+    kind = jvm.org.apache.spark.sql.types.DataType.fromDDL("array<bigint>")
+    return ClassicColumn(jvm.org.apache.spark.sql.classic.ExpressionUtils.column(jvm.org.apache.spark.sql.catalyst.expressions.Literal(array, kind)))
 
 
 def rank_literal(path: str) -> tuple[int, int, Column]:
-    """Bits of a token id, buckets, and the literal: t, d and b of ``_table``."""
-    bits, text = _table(path)
-    return bits, text.count(",", text.index('"d"'), text.index('"b"')), F.from_json(F.lit(text), "t array<bigint>, d array<bigint>, b array<bigint>")
+    """Bits of a token id, buckets, and the literal: t, d and b, the arrays of ``_table``."""
+    bits, table, moduli, of_bytes = _table(path)
+    release()
+    return bits, len(moduli), F.struct(_literal(table).alias("t"), _literal(moduli).alias("d"), _literal(of_bytes).alias("b"))
 
 
 def fold(word: Column, table: tuple[int, int, Column]) -> Column:
@@ -211,7 +222,7 @@ def distinct_words(docs: DataFrame, path: str, text: str) -> DataFrame:
                 seen = set()
         yield pa.RecordBatch.from_pydict({"w": pa.array(list(seen - whole), pa.string())})
 
-    return docs.select(F.col(text)).mapInArrow(cut, "w string").distinct()
+    return docs.select(F.col(text)).mapInArrow(released(cut), "w string").distinct()
 
 
 class Dictionary:
@@ -317,7 +328,7 @@ def dictionary(docs: DataFrame, path: str, text: str = "text", shards: int | Non
             put_file(f"{folder}/{k}.high", high[o].tobytes())
             yield pa.RecordBatch.from_pydict({"s": pa.array([k], pa.int64())})
 
-    made = coded.mapInArrow(keyed, "s long, high long, low long, ids array<long>").repartition(shards, "s").mapInArrow(stored, "s long").collect()
+    made = coded.mapInArrow(released(keyed), "s long, high long, low long, ids array<long>").repartition(shards, "s").mapInArrow(released(stored), "s long").collect()
     return Dictionary(folder, shards, [r.s for r in made])
 
 
@@ -383,6 +394,6 @@ def digests(docs: DataFrame, path: str, id_: str = "doc_id", text: str = "text")
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())], ["i", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[id_].dataType.simpleString()
-    out = docs.select(F.col(id_).alias("i"), F.col(text)).mapInArrow(run, f"i {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    out = docs.select(F.col(id_).alias("i"), F.col(text)).mapInArrow(released(run), f"i {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return out.withColumnRenamed("i", id_)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 import uuid
 
@@ -72,6 +74,7 @@ def small_batches(spark: SparkSession, rows: int = 1024) -> None:
     """Ship the package to the workers, and bound what one Arrow batch of texts holds."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
 
 
 #: Holds the columns that an operator passes through, so that none can clash with its own.
@@ -92,9 +95,39 @@ def unpacked(df: DataFrame, columns: list[str], need: dict[str, str | None], **n
     return df.select(*old, *[v.alias(k) for k, v in new.items() if k not in columns])
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers are reused, and their allocators would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def released(run):
+    """A function for ``mapInArrow`` that releases memory at a task's end."""
+
+    @functools.wraps(run)
+    def call(batches):
+        yield from run(batches)
+        release()
+
+    return call
+
+
 def arrow_fn(f, kind: str):
     """An Arrow function that the optimiser neither repeats nor moves, as it would a cheap one."""
-    return F.arrow_udf(f, kind).asNondeterministic()
+    calls = [0]
+
+    @functools.wraps(f)
+    def call(*args):
+        out = f(*args)
+        calls[0] += 1
+        if calls[0] % 4 == 0:
+            release()
+        return out
+
+    return F.arrow_udf(call, kind).asNondeterministic()
 
 
 def heavy_split_join(left: DataFrame, keys: DataFrame, on: list[str], count: str, total: int) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, WHITE_BYTES, arrow_fn, heavy_split_join, packed, saved, small_batches, unpacked, work_dir
+from .common import NO_ID, WHITE_BYTES, arrow_fn, heavy_split_join, packed, released, saved, small_batches, unpacked, work_dir
 
 
 def line_keys(text: str | None) -> list[bytes]:
@@ -106,7 +106,7 @@ def _keys_of(docs: DataFrame, id_: str, text: str, least: int, cuts: list[int])
                 doc = np.concatenate(ids)
                 yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(edges, doc, "left").astype(np.int32)), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(doc)], ["b", "h1", "h2", "doc"])
 
-    return docs.select(F.col(id_).cast("long"), F.col(text)).mapInArrow(keys, "b int, h1 long, h2 long, doc long")
+    return docs.select(F.col(id_).cast("long"), F.col(text)).mapInArrow(released(keys), "b int, h1 long, h2 long, doc long")
 
 
 def drops(docs: DataFrame, id_: str = "doc_id", text: str = "text", least: int = 10, batches: int = 6, fanout: int = 3) -> DataFrame:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, map_file, put_file, small_batches, words, work_dir
+from .common import crc_of_id, map_file, put_file, released, small_batches, words, work_dir
 from .eliasfano import EliasFano
 
 END = np.uint64(0xE5D0C0FFEE123457)
@@ -353,7 +353,7 @@ def train(docs: DataFrame, id_: str = "doc_id", text: str = "text", held: tuple[
             yield pa.RecordBatch.from_pydict({"s": [int(s)], "size": [len(h)], "total": [int(n.sum())]})
 
     key = F.expr(f"shiftright(shiftrightunsigned(h, 32) * {shards}L, 32)")
-    made = texts.mapInArrow(unigrams, "h long, n long").repartition(shards, key).mapInArrow(level1, "s long, size long, total long").collect()
+    made = texts.mapInArrow(released(unigrams), "h long, n long").repartition(shards, key).mapInArrow(released(level1), "s long, size long, total long").collect()
     words_ = Model(folder, shards, [_sizes(made, shards)], sum(r.total for r in made))
     if not words_.vocabulary:
         return Model(folder, shards, [words_.sizes[0]] + [[0] * shards for _ in least], 0)
@@ -398,8 +398,8 @@ def train(docs: DataFrame, id_: str = "doc_id", text: str = "text", held: tuple[
                 whole, contexts, context = m, len(c), place
             yield pa.RecordBatch.from_arrays([pa.array([s] * len(sizes), pa.int64()), pa.array(range(1, len(sizes) + 1), pa.int64()), pa.array(sizes, pa.int64())], ["s", "level", "size"])
 
-    blocks = texts.mapInArrow(ngrams, "s long, block binary")
-    made = blocks.repartition(shards, "s").mapInArrow(build, "s long, level long, size long").collect()
+    blocks = texts.mapInArrow(released(ngrams), "s long, block binary")
+    made = blocks.repartition(shards, "s").mapInArrow(released(build), "s long, level long, size long").collect()
     return Model(folder, shards, [words_.sizes[0]] + [_sizes([r for r in made if r.level == k], shards) for k in range(1, order)], words_.total)
 
 
@@ -433,5 +433,5 @@ def scored(docs: DataFrame, model: Model, id_: str = "doc_id", text: str = "text
                 ["i", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     kind = docs.schema[id_].dataType.simpleString()
-    out = docs.select(F.col(id_).alias("i"), F.col(text)).mapInArrow(run, f"i {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = docs.select(F.col(id_).alias("i"), F.col(text)).mapInArrow(released(run), f"i {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("i", id_)

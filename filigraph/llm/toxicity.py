@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, small_batches, work_dir
+from .common import released, saved, small_batches, work_dir
 
 _BYTES = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 #: Runs of characters of scripts written without spaces.
@@ -266,7 +266,11 @@ def weighted(c0: np.ndarray, c1: np.ndarray, n0: int, n1: int) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, id_: str = "doc_id", text: str = "text", label: str = "toxic", held: tuple[int, int] = (4, 2),
         examples: int = 3000, k: int = 15, share: float = 0.1) -> Model:
-    """A model from the labels whose crc32(id) mod held[0] is not held[1]."""
+    """A model from the labels whose crc32(id) mod held[0] is not held[1].
+
+    At most ``examples`` rows of each label, those with the smallest hashes of their ids;
+    the votes are calibrated on at most 3000 of them, evenly taken.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     folder = work_dir(spark, "toxicity")
@@ -292,7 +296,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_: str = "doc_id", text: str = "te
                     both.setdefault(term, [0, 0])[y] += 1
         yield pa.RecordBatch.from_pydict({"h": pa.array([term_key(t) for t in both], pa.int64()), "c0": pa.array([c[0] for c in both.values()], pa.int64()), "c1": pa.array([c[1] for c in both.values()], pa.int64())})
 
-    table = texts.mapInArrow(count, "h long, c0 long, c1 long").groupBy("h").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+    table = texts.mapInArrow(released(count), "h long, c0 long, c1 long").groupBy("h").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
     got = table.toArrow().sort_by("h")  # the terms of at most 2 * examples texts
     keys = got.column("h").to_numpy()
     weights = weighted(*(got.column(c).to_numpy().astype(np.float64) for c in ("c0", "c1")), n0, n1)
@@ -305,7 +309,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_: str = "doc_id", text: str = "te
             out = [_count_terms(t, memo) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([list(o) for o in out], pa.list_(pa.int32())), pa.array([list(o.values()) for o in out], pa.list_(pa.int32()))], ["i", "y", "t", "c"])
 
-    rows = texts.mapInArrow(vectors, "i long, y int, t array<int>, c array<int>").toArrow().sort_by("i")  # at most 2 * examples
+    rows = texts.mapInArrow(released(vectors), "i long, y int, t array<int>, c array<int>").toArrow().sort_by("i")  # at most 2 * examples
     shared.destroy()
     flat = lambda c: np.concatenate([x.flatten().to_numpy() for x in rows.column(c).chunks])
     sizes = np.concatenate([np.diff(x.offsets.to_numpy()) for x in rows.column("t").chunks])
@@ -325,6 +329,6 @@ def scored(docs: DataFrame, model: Model, id_: str = "doc_id", text: str = "text
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s for s, _ in res], pa.float64()), pa.array([[m.ids[i] for _, i in near] for _, near in res], pa.list_(pa.int64()))], ["i", "score", "nearest"])
 
     kind = docs.schema[id_].dataType.simpleString()
-    out = docs.select(F.col(id_).alias("i"), F.col(text)).mapInArrow(run, f"i {kind}, score double, nearest array<long>")
+    out = docs.select(F.col(id_).alias("i"), F.col(text)).mapInArrow(released(run), f"i {kind}, score double, nearest array<long>")
     held_out = F.pmod(F.crc32(F.coalesce(F.col("i").cast("string"), F.lit(""))), F.lit(held[0])) == held[1]
     return out.select(F.col("i").alias(id_), held_out.alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"), "nearest")
