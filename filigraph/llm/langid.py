@@ -8,8 +8,11 @@ prior per host, smoothed towards its address suffix, which is smoothed towards
 the whole corpus.  Confusion table and priors come from one grouped aggregation
 of the text posteriors of all rows.
 
-Only the trigram models are fitted on a bounded sample: ``per_language`` labelled
-rows of each language, those with the smallest hash of their id.
+Only the trigram models are fitted on a bounded sample: about ``per_language``
+labelled rows of each language, those with the smallest hashes of id and text.
+The label may be the declaration itself, which is evidence too.  So that no row's
+declaration also speaks through the text model, the sample is cut in ``folds`` by
+another hash, and a row is scored by the model of the other folds.
 
 Edge cases: a null or empty text, or one without letters, has no text evidence:
 the prior and the declaration decide, and ``kept`` is false.  A null host, suffix
@@ -21,10 +24,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, arrow_fn, packed, saved, small_batches, text_buffer, unpacked, work_dir
+from .common import BROADCAST_ROWS, arrow_fn, packed, released, saved, small_batches, text_buffer, unpacked, work_dir
 
 BUCKETS = 1 << 14
 UNKNOWN = "und"
@@ -50,51 +53,68 @@ def _trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return h[good], before[np.minimum(at, len(good))]
 
 
-def fit(docs: DataFrame, text: str, label: str, id_: str, per_language: int = 1500) -> dict:
-    """Trigram models: ``{"langs": [...], "ll": float32[BUCKETS, L + 1]}``; the last column is the unknown language."""
+def _fold(id_: str, text: str, folds: int) -> Column:
+    """The fold of a row: not a function of the hash that samples."""
+    return F.pmod(F.hash(F.lit(folds), F.col(id_).cast("string"), F.col(text)), F.lit(folds)) if folds > 1 else F.lit(0)
+
+
+def fit(docs: DataFrame, text: str, label: str, id_: str, per_language: int = 1500, folds: int = 1) -> dict:
+    """Trigram models: ``{"langs": [...], "ll": float32[folds, BUCKETS, L + 1]}``; the last column is the unknown language.
+
+    With several folds, the k-th model is fitted on the rows of all folds but the k-th.
+    """
     known = docs.filter(F.col(label).isNotNull() & F.col(text).isNotNull())
     sizes = {r[0]: r[1] for r in known.groupBy(label).count().collect()}  # every label: the model has a column for each
     langs = sorted(sizes)
     if not langs:
-        return {"langs": [], "ll": np.zeros((BUCKETS, 1), np.float32)}
-    rates = docs.sparkSession.createDataFrame([(k, min(1.0, 1.2 * per_language / n)) for k, n in sizes.items()], "_k string, _share double")
-    unit = (F.shiftrightunsigned(F.xxhash64(F.col(id_)), 11).cast("double") / float(1 << 53))
-    sample = known.join(F.broadcast(rates), F.col(label) == F.col("_k")).filter(unit < F.col("_share")).select(F.col(label).alias("l"), F.col(text).alias("t")).limit(2 * per_language * len(langs)).repartition(4)
+        return {"langs": [], "ll": np.zeros((folds, BUCKETS, 1), np.float32)}
+    rates = docs.sparkSession.createDataFrame([(k, min(1.0, per_language / n)) for k, n in sizes.items()], "_k string, _share double")
+    unit = (F.shiftrightunsigned(F.xxhash64(F.col(id_).cast("string"), F.col(text)), 11).cast("double") / float(1 << 53))
+    sample = known.join(F.broadcast(rates), F.col(label) == F.col("_k")).filter(unit < F.col("_share"))
+    sample = sample.select(F.col(label).alias("l"), F.col(text).alias("t"), _fold(id_, text, folds).alias("f"))
+    sample = sample.limit(4 * per_language * len(langs)).repartition(4)  # a bound for tables made up of copies of one row
 
     def count(batches):
-        total: dict[str, np.ndarray] = {}
+        total: dict[tuple[str, int], np.ndarray] = {}
         for b in batches:
             h, at = _trigrams(b.column(1))
-            for k, name in enumerate(b.column(0).to_pylist()):
-                total.setdefault(name, np.zeros(BUCKETS))
-                total[name] += np.bincount(h[at[k] : at[k + 1]], minlength=BUCKETS)
-        for name, c in total.items():
-            yield pa.RecordBatch.from_pydict({"l": [name], "c": pa.array([c.tobytes()], pa.binary())})
-
-    counts = {k: np.zeros(BUCKETS) for k in langs}
-    for r in sample.mapInArrow(count, "l string, c binary").collect():
-        counts[r.l] += np.frombuffer(r.c)
-    m = np.stack([counts[k] for k in langs], 1) + 0.05
-    ll = np.concatenate([np.log(m / m.sum(0)), np.full((BUCKETS, 1), -np.log(BUCKETS))], 1)
-    return {"langs": langs, "ll": ll.astype(np.float32)}
-
-
-def _scored(df: DataFrame, text: str, model, tempered: float) -> DataFrame:
+            for k, key in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist())):
+                if key not in total:
+                    total[key] = np.zeros(BUCKETS)
+                total[key] += np.bincount(h[at[k] : at[k + 1]], minlength=BUCKETS)
+        for (name, f), c in total.items():
+            yield pa.RecordBatch.from_pydict({"l": [name], "f": pa.array([f], pa.int32()), "c": pa.array([c.tobytes()], pa.binary())})
+
+    counts = {(k, f): np.zeros(BUCKETS) for k in langs for f in range(folds)}
+    for r in sample.mapInArrow(released(count), "l string, f int, c binary").collect():
+        counts[r.l, r.f] += np.frombuffer(r.c)
+    ll = []
+    for f in range(folds):
+        m = np.stack([sum(counts[k, g] for g in range(folds) if g != f or folds == 1) for k in langs], 1) + 0.05
+        ll.append(np.concatenate([np.log(m / m.sum(0)), np.full((BUCKETS, 1), -np.log(BUCKETS))], 1))
+    return {"langs": langs, "ll": np.stack(ll).astype(np.float32)}
+
+
+def _scored(df: DataFrame, text: str, fold: str, model, tempered: float) -> DataFrame:
     """Adds ``_ll``: tempered log-likelihoods by language, the unknown one last; null without text evidence."""
 
-    def score(t: pa.Array) -> pa.Array:
-        ll = model.value["ll"]
+    def score(t: pa.Array, f: pa.Array) -> pa.Array:
+        every, f = model.value["ll"], np.asarray(f)
         h, at = _trigrams(t)
         n = np.diff(at)
-        sums = np.zeros((len(n), ll.shape[1]))
-        if len(h):
-            some = n > 0
-            sums[some] = np.add.reduceat(ll[h], at[:-1][some], axis=0, dtype=np.float64)
+        sums = np.zeros((len(n), every.shape[2]))
+        for k, ll in enumerate(every):
+            some = (n > 0) & (f == k)
+            if some.any():
+                mine = h if some.sum() == (n > 0).sum() else h[np.repeat(f == k, n)]
+                start = np.concatenate([[0], np.cumsum(n[some])[:-1]])
+                for j, column in enumerate(ll.T):  # one language at a time keeps what is gathered small
+                    sums[some, j] = np.add.reduceat(np.ascontiguousarray(column)[mine], start, dtype=np.float64)
         sums *= (np.minimum(n, tempered) / np.maximum(n, 1))[:, None]
-        out = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * ll.shape[1]), pa.array(sums.ravel()))
+        out = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * every.shape[2]), pa.array(sums.ravel()))
         return pa.ListArray.from_arrays(out.offsets, out.values, mask=pa.array(n == 0)) if len(n) else out
 
-    return df.withColumn("_ll", arrow_fn(score, "array<double>")(F.col(text)))
+    return df.withColumn("_ll", arrow_fn(score, "array<double>")(F.col(text), F.col(fold)))
 
 
 def _softmax(xs: list) -> list:
@@ -106,7 +126,7 @@ def _softmax(xs: list) -> list:
 
 def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang", host: str | None = "source",
              suffix: str | None = None, id_: str = "doc_id", label: str | None = None, model: dict | None = None,
-             per_language: int = 1500, tempered: float = 60.0, host_weight: float = 20.0, suffix_weight: float = 50.0,
+             per_language: int = 1500, folds: int = 2, tempered: float = 60.0, host_weight: float = 20.0, suffix_weight: float = 50.0,
              least: float = 0.5) -> DataFrame:
     """All columns of ``docs`` and ``lang_pred``, ``posterior``, ``has_text``, ``kept``.
 
@@ -116,21 +136,21 @@ def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang",
     """
     spark = docs.sparkSession
     small_batches(spark)
-    model = model or fit(docs, text, label or declared, id_, per_language)
+    model = model or fit(docs, text, label or declared, id_, per_language, folds)
     langs = model["langs"]
     if not langs:
         none = {"lang_pred": F.lit(None).cast("string"), "posterior": F.lit(None).cast("double"), "has_text": F.lit(False), "kept": F.lit(False)}
         return docs.withColumns(none)  # replaces namesakes
     every = [*langs, UNKNOWN]
     need = {"_t": text, "_d0": declared, "_h0": host, "_s0": suffix}
-    own = packed(docs, **need).withColumns({c: F.col(f"{c}0").cast("string") for c in ("_d", "_h", "_s")})
+    own = packed(docs.withColumn("_i", _fold(id_, text, len(model["ll"]))), _f="_i", **need).withColumns({c: F.col(f"{c}0").cast("string") for c in ("_d", "_h", "_s")})
     shared = spark.sparkContext.broadcast(model)
-    scored = _scored(own, "_t", shared, tempered)
+    scored = _scored(own, "_t", "_f", shared, tempered)
     ll = [F.get("_ll", F.lit(i)) for i in range(len(every))]
     unknown_prior = F.lit(float(np.log(1e-3)))
     soft = _softmax([x + (unknown_prior if i == len(langs) else F.lit(0.0)) for i, x in enumerate(ll)])
     evidence = (
-        _scored(own.select("_d", "_h", "_s", "_t"), "_t", shared, tempered)
+        _scored(own.select("_d", "_h", "_s", "_t", "_f"), "_t", "_f", shared, tempered)
         .filter(F.col("_ll").isNotNull()).select("_d", "_h", "_s", *[p.alias(f"p{i}") for i, p in enumerate(soft)])
         .groupBy("_d", "_h", "_s").agg(*[F.sum(f"p{i}").alias(f"p{i}") for i in range(len(every))])
     )
@@ -187,8 +207,15 @@ def page_evidence(pages: DataFrame, url: str = "url", html: str = "html") -> Dat
     return pages.withColumns({"text": body, "declared": full(lang), "host": full(host), "suffix": full(F.regexp_extract(host, r"\.([a-z]+)$", 1))})
 
 
+def with_suffix(docs: DataFrame, source: str = "source", to: str = "suffix") -> DataFrame:
+    """Adds the address suffix of a source that is a host name or an address; null for others."""
+    host = F.regexp_extract(F.lower(F.col(source)), r"^(?:[a-z][a-z0-9+.-]*://)?(?:[^/@?#]*@)?([^/:?#]+)", 1)
+    found = F.regexp_extract(host, r"\.([a-z]+)$", 1)
+    return docs.withColumn(to, F.when(found != "", found))
+
+
 def filtered(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Pipeline stage: documents of a known language, with ``lang`` set to the language found."""
     need = {"doc_id": "doc_id", "text": "text", "lang": "lang", "source": "source"}
-    out = identify(packed(docs, **need)).filter("kept")
+    out = identify(with_suffix(packed(docs, **need)), suffix="suffix").filter("kept")
     return unpacked(out, docs.columns, need, lang=F.col("lang_pred"))

@@ -26,7 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return langid.identify(docs).select("doc_id", "lang_pred", "posterior", "has_text", "kept")
+    return langid.identify(langid.with_suffix(docs), suffix="suffix").select("doc_id", "lang_pred", "posterior", "has_text", "kept")
 
 
 def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
