@@ -4,9 +4,9 @@
 library itself encodes alone as one token and that the pre-tokeniser's pattern
 leaves in one piece.  Texts are then cut into pre-tokens; those in the proven set
 count one each, only the rest is merged (by the library's own model, with a
-bounded memo).  Texts with a special string, or with a character outside the
-range in which the two pattern engines were compared, are encoded whole by the
-library.
+bounded memo).  Special strings in a text count one each and cut it in parts, as
+in the library; texts with a character outside the range in which the two pattern
+engines were compared are cut by the library's own pre-tokeniser.
 
 Edge cases: a null or empty text has no bytes and no tokens; repeated rows are
 counted alike; extra columns are ignored.
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BPE_FAST, BPE_PATTERN, BPE_RARE, small_batches
+from .common import BPE_FAST, BPE_PATTERN, BPE_RARE, released, small_batches
 
 MEMO = 100_000
 
@@ -65,8 +65,11 @@ def _counter(path: str):
     singles = _PROVEN.get(path) or prove(path)
     chars = str.maketrans({chr(b): c for b, c in _byte_chars().items()})
     cut, rare = re.compile(BPE_FAST).findall, re.compile(BPE_RARE).search
-    special = [a.content for a in t.get_added_tokens_decoder().values()]
-    model = t.model
+    added = t.get_added_tokens_decoder().values()
+    if any(a.lstrip or a.rstrip or a.single_word for a in added) or t.normalizer is not None:
+        raise ValueError("a vocabulary with added tokens that take their surroundings, or with a normaliser")
+    special = re.compile("|".join(re.escape(a.content) for a in sorted(added, key=lambda a: -len(a.content))) or "(?!)")
+    model, own_cut = t.model, t.pre_tokenizer.pre_tokenize_str
 
     class Memo(dict):
         def __missing__(self, piece: str) -> int:
@@ -77,13 +80,19 @@ def _counter(path: str):
             return n
 
     memo = Memo.fromkeys(singles, 1)
+    shown = {c: chr(b) for b, c in _byte_chars().items()}
+    back = str.maketrans(shown)
+
+    def part(text: str) -> int:
+        if rare(text):  # the pieces come in the printable stand-ins of their bytes
+            return sum(memo[p.translate(back).encode("latin-1").decode()] for p, _ in own_cut(text))
+        return sum(map(memo.__getitem__, cut(text)))
 
     def count(text: str) -> int:
         if not text:
             return 0
-        if any(s in text for s in special) or rare(text):
-            return len(t.encode(text, add_special_tokens=False).ids)
-        return sum(map(memo.__getitem__, cut(text)))
+        parts = special.split(text)
+        return len(parts) - 1 + sum(part(x) for x in parts if x)
 
     return count
 
@@ -107,5 +116,5 @@ def counted(docs: DataFrame, path: str, id_: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_arrays([b.column(0), size, pa.array(n), pa.array(n > limit)], ["i", "n_bytes", "n_tokens", "over_limit"])
 
     kind = docs.schema[id_].dataType.simpleString()
-    out = docs.select(F.col(id_).alias("i"), F.col(text)).mapInArrow(run, f"i {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    out = docs.select(F.col(id_).alias("i"), F.col(text)).mapInArrow(released(run), f"i {kind}, n_bytes long, n_tokens long, over_limit boolean")
     return out.withColumnRenamed("i", id_)
