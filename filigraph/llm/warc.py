@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, heavy_split_join, is_local, local_path, put_file, saved, small_batches, work_dir
+from .common import NO_ID, heavy_split_join, is_local, local_path, put_file, released, saved, small_batches, work_dir
 
 MAGIC, FRAME = 0x184D2A5D, 0xFD2FB528
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -160,10 +160,18 @@ def records(uri: str) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def train(pages: DataFrame, html: str = "html", id_: str = "page_id", sample: int = 1000, size: int = 65_536, each: int = 16_384) -> bytes:
-    """A dictionary from a bounded sample of payloads (the first ``each`` bytes of ``sample`` pages); empty if too few."""
+    """A dictionary from a bounded sample of payloads; empty if they are too few.
+
+    Of the pages whose id's hash falls in a share that holds half more than ``sample``
+    ids, those with the ``sample`` smallest hashes give the first ``each`` bytes (one
+    page for each hash): tasks send the driver no more than that share.
+    """
     import zstandard
 
-    rows = pages.select(F.xxhash64(id_).alias("h"), F.substring(F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8"), 1, each).alias("b")).orderBy("h").limit(sample).collect()
+    total = pages.count()
+    unit = F.shiftrightunsigned("h", 11).cast("double") / float(1 << 53)
+    rows = pages.select(F.xxhash64(id_).alias("h"), F.col(html).alias("b")).filter(unit < 1.5 * sample / max(total, 1))
+    rows = rows.groupBy("h").agg(F.min(F.substring(F.encode(F.coalesce("b", F.lit("")), "UTF-8"), 1, each)).alias("b")).orderBy("h").limit(sample).collect()
     parts = [bytes(r.b) for r in rows if r.b]
     try:
         return zstandard.train_dictionary(size, parts).as_bytes() if len(parts) >= 16 else b""
@@ -216,7 +224,7 @@ def write(pages: DataFrame, folder: str, dictionary: bytes, id_: str = "page_id"
         if n:
             yield close()
 
-    return saved(left.mapInArrow(run, "path string, records long"), f"{folder}/written")
+    return saved(left.mapInArrow(released(run), "path string, records long"), f"{folder}/written")
 
 
 def read(paths: DataFrame, path: str = "path") -> DataFrame:
@@ -238,7 +246,7 @@ def read(paths: DataFrame, path: str = "path") -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kind.types)], schema=kind)
 
     spread = paths.select(path).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), path)
-    return spread.mapInArrow(run, "path string, headers map<string,string>, payload binary")
+    return spread.mapInArrow(released(run), "path string, headers map<string,string>, payload binary")
 
 
 def digests(pages: DataFrame) -> DataFrame:
