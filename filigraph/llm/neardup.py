@@ -15,7 +15,8 @@
 6. The links' connected components give each document its component.
 
 With 32 bands of 6 rows a pair of similarity 0.85 shares no band with probability
-below 3e-7; ``miss`` is 1e-7.
+below 3e-7; ``miss`` is 1e-7.  The pipeline's stage links from 0.8 on, where that
+probability is 6e-5 at the threshold itself.
 
 Edge cases: a text of fewer words than a shingle has one shingle, its whole word
 sequence; null, empty or blank texts have none and are linked with nothing; rows
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import heavy_split_join, mixed, packed, saved, small_batches, unpacked, word_hashes, words, work_dir
+from .common import heavy_split_join, mixed, packed, released, saved, small_batches, unpacked, word_hashes, words, work_dir
 from .components import components
 
 BANDS, ROWS = 32, 6
@@ -124,7 +125,7 @@ def _features(docs: DataFrame, id_: str, text: str, size: int) -> DataFrame:
                  pa.ListArray.from_arrays(pa.array(np.arange(k + 1, dtype=np.int32) * BANDS), pa.array(bands.view(np.int64).ravel()))],
                 ["doc", "n", "d1", "d2", "sig", "bands"])
 
-    return docs.select(F.col(id_).cast("long"), F.col(text)).mapInArrow(run, "doc long, n long, d1 long, d2 long, sig binary, bands array<long>")
+    return docs.select(F.col(id_).cast("long"), F.col(text)).mapInArrow(released(run), "doc long, n long, d1 long, d2 long, sig binary, bands array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_: str, text: str, size: int, rows: int) -> DataFrame:
@@ -136,7 +137,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_: str, text: str, size: int, ro
 
     own = docs.select(F.col(id_).cast("long").alias("doc"), F.col(text).alias("t"))
     own = own.join(F.broadcast(wanted) if rows <= IDS else wanted, "doc", "left_semi")
-    return own.mapInArrow(run, "doc long, set binary").dropDuplicates(["doc"])
+    return own.mapInArrow(released(run), "doc long, set binary").dropDuplicates(["doc"])
 
 
 def _with(pairs: DataFrame, side: DataFrame, key: str, what: list[str], total: int) -> DataFrame:
@@ -210,7 +211,7 @@ def duplicates(docs: DataFrame, id_: str = "doc_id", text: str = "text", size: i
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["lead", "doc"]).filter(pa.array(survives(x, y, needed)))
 
         both = _with(_with(best, feats, "lead", ["sig"], n_best), feats, "doc", ["sig"], n_best)
-        alive = saved(both.select("lead", "doc", "lead_sig", "doc_sig").mapInArrow(bayes, "lead long, doc long"), f"{folder}/alive")
+        alive = saved(both.select("lead", "doc", "lead_sig", "doc_sig").mapInArrow(released(bayes), "lead long, doc long"), f"{folder}/alive")
         ids = stars.select("doc").unionByName(stars.select(F.col("lead").alias("doc"))).distinct()
         sets = saved(_sets(docs, ids, id_, text, size, 2 * n_stars), f"{folder}/sets")
 
@@ -220,7 +221,7 @@ def duplicates(docs: DataFrame, id_: str = "doc_id", text: str = "text", size: i
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
         both = _with(_with(alive, sets, "lead", ["set"], n_best), sets, "doc", ["set"], n_best)
-        links = saved(both.select("lead", "doc", "lead_set", "doc_set").mapInArrow(verify, "a long, b long"), f"{folder}/links")
+        links = saved(both.select("lead", "doc", "lead_set", "doc_set").mapInArrow(released(verify), "a long, b long"), f"{folder}/links")
         roots = components(links, f"{folder}/c1")
 
         # candidate groups in several parts
@@ -247,7 +248,7 @@ def duplicates(docs: DataFrame, id_: str = "doc_id", text: str = "text", size: i
             cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))
             dealt = rest.withColumn("own", mine).join(feats.select("doc", "sig", "bands").dropDuplicates(["doc"]), "doc").join(sets, "doc")
             dealt = dealt.select("root", "doc", "comp", "sig", "bands", "set", F.explode(cells).alias("c")).select("root", "c.i", "c.j", "doc", "comp", "sig", "bands", "set")
-            more = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "doc").mapInArrow(finish, "a long, b long")
+            more = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "doc").mapInArrow(released(finish), "a long, b long")
             more = saved(more, f"{folder}/more")
             if more.limit(1).count():
                 roots = components(roots.select(F.col("root").alias("a"), F.col("v").alias("b")).unionByName(more), f"{folder}/c2")
@@ -284,7 +285,7 @@ def digests(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFra
     return out.select(id_, F.coalesce("n_shingles", F.lit(0).cast("long")).alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col(id_) == F.col("component"), F.lit(True)).alias("kept"))
 
 
-def filtered(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Pipeline stage: one document of each component, the one of smallest id."""
+def filtered(spark: SparkSession, docs: DataFrame, percent: int = 80) -> DataFrame:
+    """Pipeline stage: one document of each component, the one of smallest id. Links from ``percent`` on."""
     need = {"doc_id": "doc_id", "text": "text"}
-    return unpacked(marked(packed(docs, **need)).filter("kept"), docs.columns, need)
+    return unpacked(marked(packed(docs, **need), percent=percent).filter("kept"), docs.columns, need)

@@ -29,7 +29,8 @@ def corpus(n: int = 90, seed: int = 3) -> list[tuple]:
         if i % 2 and len(words) > 30:
             words[r.randrange(len(words))] = "changed"
         rows.append([n + i, " ".join(words)])
-    rows += [[200, None], [201, ""], [202, " \n\t "], [203, "x"], [204, "one two three"], [205, "one two three"], [206, "a" * 3000], [207, " ".join(shared[:3] * 3)], [208, " # $ % !! 12 éé 日本 <|endoftext|> don't  stop\r\n\r\nnow"]]
+    rows += [[200, None], [201, ""], [202, " \n\t "], [203, "x"], [204, "one two three"], [205, "one two three"], [206, "a" * 3000], [207, " ".join(shared[:3] * 3)], [208, " # $ % !! 12 éé 日本 <|endoftext|> don't  stop\r\n\r\nnow"],
+             [209, "😀😀 שלום नमस्ते สวัสดี مرحبا ١٢٣ 𝒜𝒷 ⅷ <|endoftext|><|endoftext|> ꙮ don't " * 9], [210, "\n".join(line(20) for _ in range(1000))]]
     return [(i, t, "en" if i % 3 else None, "s1" if i % 2 else None, len(t or ""), True, "x", 1, "y") for i, t in rows]
 
 

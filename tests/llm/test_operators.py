@@ -31,11 +31,34 @@ def test_language_id(spark):
     assert langid.identify(lies, model=model, declared=None).filter("lang_pred = 'fr'").count() >= 0.9 * docs.filter("lang = 'fr'").count()
 
 
+def test_language_id_without_and_against_the_declaration(spark):
+    """No row's own declaration reaches its text model, so these are held-out figures."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    long_ = "length(text) > 200"
+    masked = langid.identify(docs, declared=None, label="lang").filter(long_)
+    n = masked.count()
+    assert masked.filter("lang_pred = lang").count() >= 0.98 * n
+    wrong = docs.withColumn("said", F.when(F.col("doc_id") % 5 == 0, F.when(F.col("lang") == "en", "de").otherwise("en")).otherwise(F.col("lang")))
+    lied = langid.identify(wrong, declared="said", label="lang").filter(long_ + " and said <> lang")
+    assert lied.filter("lang_pred = lang").count() >= 0.95 * lied.count()
+
+
+def test_language_id_repeated_rows_and_suffix(twice, spark):
+    got = langid.identify(langid.with_suffix(twice), suffix="suffix").select("doc_id", "text", "lang_pred", "kept").collect()
+    assert len(got) == twice.count()
+    by = {}
+    for r in got:
+        by.setdefault((r.doc_id, r.text), set()).add((r.lang_pred, r.kept))
+    assert all(len(v) == 1 for v in by.values())
+    hosts = spark.createDataFrame([("a.example.fr",), ("https://u@b.example.de:80/x.html",), ("src12",), (None,)], "source string")
+    assert [r.suffix for r in langid.with_suffix(hosts).collect()] == ["fr", "de", None, None]
+
+
 def test_language_models_of_every_label(spark):
     rows = [(i, f"word{chr(97 + i % 26)}{chr(97 + i % 70 // 26)} text", f"l{i % 70:02}") for i in range(210)]
     many = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = langid.fit(many, "text", "lang", "doc_id")
-    assert model["langs"] == [f"l{k:02}" for k in range(70)] and model["ll"].shape[1] == 71
+    assert model["langs"] == [f"l{k:02}" for k in range(70)] and model["ll"].shape[2] == 71
 
 
 def test_language_id_edges(docs, none, spark):
@@ -149,6 +172,29 @@ def test_quality_rejects_outliers_and_keeps_the_rest(spark):
     assert sum(got[i].kept for i in plain) >= 0.99 * len(plain)
 
 
+def test_quality_against_own_estimates(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang in ('en', 'de', 'fr')").withColumn("source", F.when(F.col("lang") == "en", F.concat(F.lit("s"), F.col("doc_id") % 2)).otherwise(F.col("source")))
+    rows = [r for r in quality.statistics(docs).collect() if not r.base_failed]
+    got = by_id(quality.judged(docs, keep=("doc_id", "kept", "distance"), least_rows=100))
+    vector = lambda r: [r[f] for f in quality.FEATURES]
+    by = {}
+    for r in rows:
+        for key in ((r.lang, r.source), (r.lang,)):
+            by.setdefault(key, []).append(vector(r))
+    made, near, same, far = {}, 0, 0, 0
+    for r in rows:
+        key = next(k for k in ((r.lang, r.source), (r.lang,)) if len(by[k]) >= 100)
+        if key not in made:
+            made[key] = brute.mcd(by[key], quality.FLOOR)
+        m, c = made[key]
+        gap = np.array(vector(r)) - m
+        want = gap @ np.linalg.inv(c) @ gap
+        near += abs(got[r.doc_id].distance - want) <= 0.02 * want + 0.01
+        same += got[r.doc_id].kept == (want <= 22.4577)
+        far += want > 22.4577
+    assert len(made) > 3 and near >= 0.97 * len(rows) and same >= 0.995 * len(rows) and 0 < far < 0.2 * len(rows)
+
+
 # 5, 6 ---------------------------------------------------------------------
 
 
@@ -207,6 +253,27 @@ def test_fold_and_heap_agree(spark):
         assert b"".join(base64.b64decode(base64.b64encode({v: k for k, v in bpe.ranks(path).items()}[i])) for i in r.ids) == r.w.encode()
 
 
+def test_cut_is_the_library_s_for_all_characters():
+    """The library's own classes, spelt out: every character between a letter, a number and spaces."""
+    import tiktoken
+
+    path = vocabulary("byte_bpe_50k.tiktoken")
+    e = tiktoken.Encoding("own", pat_str=bpe.BPE_PATTERN, mergeable_ranks=bpe.ranks(path), special_tokens={})
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000][:: 37]
+    for k in range(0, len(every), 3000):
+        text = " ".join(f"a{c}1 {c}{c}" for c in every[k : k + 3000])
+        assert [i for w in bpe.cutter()(text) for i in e.encode_ordinary(w)] == e.encode_ordinary(text)
+
+
+def test_columns_with_names_of_results(docs, spark):
+    path, json_ = vocabulary("byte_bpe_50k.tiktoken"), vocabulary("byte_bpe_50k.json")
+    few = docs.filter("doc_id < 20").withColumns({c: F.lit("own") for c in ("score", "n_tokens", "ids", "decoded", "held_out", "i", "n_bytes", "n_words", "distance", "nearest")})
+    assert bpe.decoded(bpe.encoded(few, path), path).columns == few.columns
+    assert bpe.decoded(bpe.encoded(few, path), path).filter("score <> 'own' or n_tokens <> 'own'").count() == 0
+    for out in (tokencount.counted(few, json_), bpe.digests(few, path), lm.scored(few, lm.train(few)), quality.judged(few, keep=("doc_id", "distance", "n_words"))):
+        assert out.count() == few.count() and len(set(out.columns)) == len(out.columns)
+
+
 # 7 ------------------------------------------------------------------------
 
 
@@ -242,7 +309,7 @@ def test_near_duplicates(docs, rows, none, twice, spark):
     again = neardup.digests(twice).collect()
     assert len(again) == twice.count() and all(r.component_id == want[r.doc_id][1] for r in again if r.doc_id is not None)
     kept = neardup.filtered(spark, docs)
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {c for _, c in want.values()}
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {c for _, c in brute.near(rows, 80).values()}
 
 
 def test_near_duplicates_in_chains_and_blocks(spark):
@@ -333,6 +400,25 @@ def test_warc(spark, tmp_path):
     assert warc.digests(pages.limit(0)).count() == 0
 
 
+def test_warc_dictionary_and_many_archives(spark, tmp_path):
+    import zstandard
+
+    html = lambda i: f"<html><head><title>Page {i}</title><meta charset='utf-8'></head><body class='plain'><p>" + " ".join(f"word{(i * k) % 97} of the page" for k in range(40)) + "</p></body></html>"
+    rows = [(i, f"http://host{i % 7}.example/{i}", html(i)) for i in range(400)] + [(1000, "http://x/", html(3)), (None, None, "né" * 200_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"path": F.lit(1), "first": F.lit(2), "h": F.lit(3)})
+    d = warc.train(pages)
+    assert len(d) > 1000 and d == warc.train(pages.repartition(5)) and warc.train(pages.limit(3)) == b""
+    written = warc.write(pages.repartition(2), f"file://{tmp_path}", d, archive_bytes=4000)
+    paths = [r.path for r in written.collect()]
+    assert len(paths) > 10 and written.agg(F.sum("records")).first()[0] == len(rows)
+    back = warc.read(written).collect()
+    assert sorted(r.payload.decode() for r in back if r.headers["WARC-Type"] == "response") == sorted(h for i, _, h in rows if i != 1000)
+    raw = open(paths[0][7:], "rb").read()  # the frames can't be read without the dictionary
+    at = 8 + int.from_bytes(raw[4:8], "little")
+    with pytest.raises(zstandard.ZstdError):
+        zstandard.ZstdDecompressor().decompressobj().decompress(raw[at:])
+
+
 def test_warc_archives_are_checked(tmp_path):
     import zstandard
 
