@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all its predecessor kept; all
 but the last return the columns of documents.
+
+Edge cases: documents without text, or of no known language, go in the first stage;
+a document all of whose lines are another's stays with an empty text; a row with a
+null id is nobody's copy and stays; rows that repeat an id share their component, and
+the smallest id's rows all stay; an empty table gives an empty result of the same
+columns; extra columns pass through all stages but the last.
 """
 
 from __future__ import annotations
