@@ -198,8 +198,25 @@ def marked(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: s
 
         return arrow_fn(find, kind)
 
-    parts = [finder(g)(F.col("_text")) for g in _loaded(benchmark, item_id, item_text, window, block_words, most_words) or [[]]]
+    groups = _loaded(benchmark, item_id, item_text, window, block_words, most_words) or [[]]
     need = {"_text": text}
+    if len(groups) == 1:  # as a rule: one function finds and places
+        shared = spark.sparkContext.broadcast(groups[0])  # at most most_words words
+        made: list[Detector] = []
+
+        def mark(t: pa.Array) -> pa.Array:
+            if not made:
+                made.append(_detector(shared, window, block_words))
+            res = []
+            for x in t.to_pylist():
+                w = item_words(x)
+                hit, ids, longest = made[0].look(w) if w else (np.zeros(0, bool), [], 0)
+                res.append({"n_words": len(w), "n_hit": int(hit.sum()), "longest": longest, "items": ids, "spans": _spans(x, hit)})
+            return pa.array(res, _FOUND)
+
+        out = packed(docs, **need)
+        return unpacked(out.withColumn("_found", arrow_fn(mark, _FOUND_DDL)(F.col("_text"))), docs.columns, need, found=F.col("_found"))
+    parts = [finder(g)(F.col("_text")) for g in groups]
     out = packed(docs, **need).withColumns({f"_f{k}": p for k, p in enumerate(parts)})
     names = [f"_f{k}" for k in range(len(parts))]
 
@@ -210,19 +227,27 @@ def marked(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: s
             for e in each:
                 for h in e["hits"]:
                     hit[h["a"] : h["b"]] = True
-            edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]])))
-            bytes_: list[dict] = []
-            if len(edge):
-                place = [m.span() for m in _WORD.finditer((x or "").encode().translate(_WORD_BYTES))]
-                bytes_ = [{"start": place[a][0], "end": place[b - 1][1], "words": int(b - a)} for a, b in zip(edge[::2], edge[1::2])]
-            res.append({"n_words": len(hit), "n_hit": int(hit.sum()), "longest": max(e["longest"] for e in each), "items": sorted({i for e in each for i in e["items"]}), "spans": bytes_})
-        return pa.array(res, pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("longest", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("words", pa.int64())])))]))
-
-    merge = arrow_fn(_last_first(spans, len(names)), "n_words long, n_hit long, longest long, items array<string>, spans array<struct<start:long,end:long,words:long>>")
+            res.append({"n_words": len(hit), "n_hit": int(hit.sum()), "longest": max(e["longest"] for e in each), "items": sorted({i for e in each for i in e["items"]}), "spans": _spans(x, hit)})
+        return pa.array(res, _FOUND)
+
+    merge = arrow_fn(_last_first(spans, len(names)), _FOUND_DDL)
     out = out.withColumn("_found", merge(*[F.col(n) for n in names], F.col("_text")))
     return unpacked(out, docs.columns, need, found=F.col("_found"))
 
 
+_FOUND = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("longest", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("words", pa.int64())])))])
+_FOUND_DDL = "n_words long, n_hit long, longest long, items array<string>, spans array<struct<start:long,end:long,words:long>>"
+
+
+def _spans(text: str | None, hit: np.ndarray) -> list[dict]:
+    """Runs of hit words, by byte offsets."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]])))
+    if not len(edge):
+        return []
+    place = [m.span() for m in _WORD.finditer((text or "").encode().translate(_WORD_BYTES))]
+    return [{"start": place[a][0], "end": place[b - 1][1], "words": int(b - a)} for a, b in zip(edge[::2], edge[1::2])]
+
+
 def _last_first(f, n: int):
     def call(*args: pa.Array) -> pa.Array:
         return f(list(args[:n]), args[n])
@@ -253,21 +278,12 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, text: str = "text", least_wor
     need = {"_text": text}
     out = marked(packed(docs, **need), benchmark, "_text", **how)
 
-    def cut(t: pa.Array, f: pa.Array) -> pa.Array:
-        res = []
-        for x, m in zip(t.to_pylist(), f.to_pylist()):
-            if m["spans"]:
-                raw, at, kept = x.encode(), 0, []
-                for s in m["spans"]:
-                    if s["words"] >= least_words or m["n_hit"] > coverage / 2 * m["n_words"]:
-                        kept.append(raw[at : s["start"]])
-                        at = s["end"]
-                x = b"".join([*kept, raw[at:]]).decode()
-            res.append(x)
-        return pa.array(res, pa.string())
-
+    long_enough = lambda x: (x["words"] >= least_words) | (F.col("found.n_hit") > coverage / 2 * F.col("found.n_words"))
+    raw, start = F.encode("_text", "UTF-8"), F.struct(F.lit(0).cast("long").alias("at"), F.lit(b"").alias("out"))
+    cut = F.aggregate(F.filter("found.spans", long_enough), start, lambda a, x: F.struct(x["end"].alias("at"), F.concat(a["out"], F.substring(raw, (a["at"] + 1).cast("int"), (x["start"] - a["at"]).cast("int"))).alias("out")))
+    rest = F.transform(F.array(cut), lambda a: F.decode(F.concat(a["out"], F.substring(raw, (a["at"] + 1).cast("int"), F.length(raw))), "UTF-8"))[0]
     out = out.filter(F.col("found.n_hit") <= coverage * F.col("found.n_words"))
-    out = out.withColumn("_text", arrow_fn(cut, "string")(F.col("_text"), F.col("found")))
+    out = out.withColumn("_text", F.when(F.size("found.spans") > 0, rest).otherwise(F.col("_text")))
     return unpacked(out, docs.columns, need)
 
 
