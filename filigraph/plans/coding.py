@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import generators, propagate, text
 from ..functions import codes
 from ..graph import Graph
-from ..operators import basic, codec, coder, community, info, ordering, overlap, traversal
+from ..operators import basic, codec, coder, community, info, overlap, traversal
 from .queries import _CS, _DEG, _FIBL, _TOK, _US, _VOC, _WIN, _one_based, _vocab, cs, query, r6, table, us
 
 _US1 = _US.replace("u AS src, v AS dst", "u + 1 AS src, v + 1 AS dst")
@@ -265,13 +265,7 @@ def partition_count(spark, d):
 
 @query("communities_directed")
 def communities_directed(spark, d):
-    return community.louvain(us(spark, d).kept(), directed=True)
-
-
-@query("order_communities")
-def order_communities(spark, d):
-    """Leiden communities by size, bisection inside."""
-    return ordering.by_communities(us(spark, d).kept(), "bisection")
+    return community.louvain(us(spark, d).kept(), passes=4, directed=True)
 
 
 @query("clustering_walks")

@@ -524,12 +524,12 @@ def order_bisection(spark, d):
 
 @query("communities_louvain")
 def communities_louvain(spark, d):
-    return community.louvain(us(spark, d).kept())
+    return community.louvain(us(spark, d).kept(), passes=4)
 
 
 @query("communities_leiden")
 def communities_leiden(spark, d):
-    return community.leiden(us(spark, d).kept())
+    return community.leiden(us(spark, d).kept(), passes=4)
 
 
 @query("label_propagation")
