@@ -130,13 +130,17 @@ def arrow_fn(f, kind: str):
     return F.arrow_udf(call, kind).asNondeterministic()
 
 
-def heavy_split_join(left: DataFrame, keys: DataFrame, on: list[str], count: str, total: int) -> DataFrame:
+def heavy_split_join(left: DataFrame, keys: DataFrame, on: list[str], count: str, total: int, counts: DataFrame | None = None) -> DataFrame:
     """Inner join of rows with one row per key; keys that hold over 1/500 of ``total`` rows are broadcast.
 
     At most 500 keys can hold so many rows, so the broadcast is bounded whatever
     the input; all other groups are small against the input and shuffle.
+    ``counts``: a written table with the counts of all keys.  Where it has no such
+    key the join is a plain one, which spares the driver two broadcasts.
     """
     limit = max(1000, total // 500)
+    if counts is not None and not counts.filter(F.col(count) > limit).limit(1).count():
+        return left.join(keys, on)
     heavy = F.broadcast(keys.filter(F.col(count) > limit))
     light = keys.filter(F.col(count) <= limit)
     rest = left.join(F.broadcast(keys.filter(F.col(count) > limit).select(*on)), on, "left_anti")

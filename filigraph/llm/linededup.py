@@ -133,7 +133,7 @@ def drops(docs: DataFrame, id_: str = "doc_id", text: str = "text", least: int =
             shared = new.filter("owner < last").unionByName(old)
         else:
             new, shared = keys, keys.filter("owner < last")
-        lost = heavy_split_join(batch, shared.select("h1", "h2", "owner", "n"), ["h1", "h2"], "n", total)
+        lost = heavy_split_join(batch, shared.select("h1", "h2", "owner", "n"), ["h1", "h2"], "n", total, keys)
         out.append(saved(lost.filter("owner is null or doc > owner").select("doc", "h1", "h2"), f"{folder}/lost{b}"))
         if b != present[-1]:
             runs.add(new)

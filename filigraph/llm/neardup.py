@@ -140,11 +140,12 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_: str, text: str, size: int, ro
     return own.mapInArrow(released(run), "doc long, set binary").dropDuplicates(["doc"])
 
 
-def _with(pairs: DataFrame, side: DataFrame, key: str, what: list[str], total: int) -> DataFrame:
-    """Adds columns of a document to pairs, by one of their ids, of which some may be in very many pairs."""
-    counts = pairs.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    keys = counts.join(side.select(F.col("doc").alias(key), *[F.col(w).alias(f"{key}_{w}") for w in what]), key)
-    return heavy_split_join(pairs, keys, [key], "_n", total).drop("_n")
+def _with(pairs: DataFrame, side: DataFrame, what: str, total: int, folder: str) -> DataFrame:
+    """Adds a column of both documents to (lead, doc): a document has one leader, but some may lead very many."""
+    of = lambda key: side.select(F.col("doc").alias(key), F.col(what).alias(f"{key}_{what}"))
+    counts = saved(pairs.groupBy("lead").agg(F.count(F.lit(1)).alias("_n")), folder)
+    out = heavy_split_join(pairs, counts.join(of("lead"), "lead"), ["lead"], "_n", total, counts).drop("_n")
+    return out.join(of("doc"), "doc").select("lead", "doc", f"lead_{what}", f"doc_{what}")
 
 
 def _in_block(rows: list[dict], needed: list, percent: int) -> list[tuple[int, int]]:
@@ -190,12 +191,12 @@ def duplicates(docs: DataFrame, id_: str = "doc_id", text: str = "text", size: i
 
     # classes of equal sets
     classes = saved(own.groupBy("d1", "d2").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("k")), f"{folder}/classes")
-    member = heavy_split_join(own.select("doc", "d1", "d2"), classes, ["d1", "d2"], "k", own.count()).select("doc", "rep")
+    member = heavy_split_join(own.select("doc", "d1", "d2"), classes, ["d1", "d2"], "k", own.count(), classes).select("doc", "rep")
     reps = own.join(classes.select("d1", "d2", F.col("rep").alias("doc")), ["d1", "d2", "doc"], "left_semi").dropDuplicates(["doc"])
     buckets = reps.select("doc", F.explode("bands").alias("band"))
     keys = saved(buckets.groupBy("band").agg(F.min("doc").alias("lead"), F.count(F.lit(1)).alias("k")).filter("k > 1"), f"{folder}/buckets")
     total = max(1, classes.count() * BANDS)
-    stars = heavy_split_join(buckets, keys, ["band"], "k", total).filter("lead < doc").groupBy("lead", "doc").agg(F.count(F.lit(1)).alias("shared"))
+    stars = heavy_split_join(buckets, keys, ["band"], "k", total, keys).filter("lead < doc").groupBy("lead", "doc").agg(F.count(F.lit(1)).alias("shared"))
     stars = saved(stars, f"{folder}/stars")
     n_stars = stars.count()
     roots = None
@@ -210,8 +211,7 @@ def duplicates(docs: DataFrame, id_: str = "doc_id", text: str = "text", size: i
                 x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint32).reshape(-1, BANDS * ROWS) for c in (b.column(2), b.column(3)))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["lead", "doc"]).filter(pa.array(survives(x, y, needed)))
 
-        both = _with(_with(best, feats, "lead", ["sig"], n_best), feats, "doc", ["sig"], n_best)
-        alive = saved(both.select("lead", "doc", "lead_sig", "doc_sig").mapInArrow(released(bayes), "lead long, doc long"), f"{folder}/alive")
+        alive = saved(_with(best, feats, "sig", n_best, f"{folder}/led").mapInArrow(released(bayes), "lead long, doc long"), f"{folder}/alive")
         ids = stars.select("doc").unionByName(stars.select(F.col("lead").alias("doc"))).distinct()
         sets = saved(_sets(docs, ids, id_, text, size, 2 * n_stars), f"{folder}/sets")
 
@@ -220,8 +220,7 @@ def duplicates(docs: DataFrame, id_: str = "doc_id", text: str = "text", size: i
                 ok = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-        both = _with(_with(alive, sets, "lead", ["set"], n_best), sets, "doc", ["set"], n_best)
-        links = saved(both.select("lead", "doc", "lead_set", "doc_set").mapInArrow(released(verify), "a long, b long"), f"{folder}/links")
+        links = saved(_with(alive, sets, "set", n_best, f"{folder}/alive_led").mapInArrow(released(verify), "a long, b long"), f"{folder}/links")
         roots = components(links, f"{folder}/c1")
 
         # candidate groups in several parts
@@ -229,7 +228,8 @@ def duplicates(docs: DataFrame, id_: str = "doc_id", text: str = "text", size: i
         placed = groups.withColumnRenamed("v", "doc").join(roots.select(F.col("v").alias("doc"), F.col("root").alias("comp")), "doc", "left")
         placed = saved(placed.withColumn("comp", F.coalesce("comp", "doc")), f"{folder}/placed")
         open_ = placed.groupBy("root").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("k")).filter("x < y and k > 2").select("root", "k")
-        rest = saved(heavy_split_join(placed, open_, ["root"], "k", n_best).select("doc", "root", "comp", F.ceil(F.col("k") / block).cast("int").alias("blocks")), f"{folder}/rest")
+        open_ = saved(open_, f"{folder}/open")
+        rest = saved(heavy_split_join(placed, open_, ["root"], "k", n_best, open_).select("doc", "root", "comp", F.ceil(F.col("k") / block).cast("int").alias("blocks")), f"{folder}/rest")
         if rest.limit(1).count():
             def finish(batches):
                 key, rows = None, []

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from filigraph.llm import bpe, decontam, eliasfano, langid, linededup, lm, neardup, quality, tokencount, toxicity, warc
+from filigraph.llm import bpe, common, components, decontam, eliasfano, langid, linededup, lm, neardup, quality, tokencount, toxicity, warc
 from filigraph.llm.queries import lm_scoring, vocabulary
 
 
@@ -324,6 +324,45 @@ def test_near_duplicates_in_chains_and_blocks(spark):
         assert got == {i: c for i, (_, c) in want.items()}
 
 
+def test_components_in_one_task_and_in_rounds(spark, tmp_path):
+    r = np.random.default_rng(9)
+    chain = r.permutation(200) - 50
+    edges = [*zip(chain[1:], chain[:-1]), *[(1000, 1001 + k) for k in range(1500)], *[tuple(x) for x in r.integers(5000, 5400, (220, 2))], (9000, 9000)]
+    edges = [(int(x), int(y)) for x, y in edges + edges[:40]]
+    up = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in up:
+        for x, y in edges:
+            if x != y:
+                up[x] = up[y] = min(up[x], up[y])
+        if all(up[x] == up[y] for x, y in edges if x != y):
+            break
+    df = spark.createDataFrame(edges, "a long, b long")
+    for k, how in enumerate(({}, {"one_task": 0})):
+        got = components.components(df, f"{tmp_path}/{k}", **how).collect()
+        assert len(got) == len(up) and {x.v: x.root for x in got} == up
+        assert components.components(df.limit(0), f"{tmp_path}/none{k}", **how).count() == 0
+
+
+def test_near_duplicates_take_few_jobs(docs, spark):
+    """Each query costs the driver memory, whatever its rows."""
+    sc = spark.sparkContext
+    sc.setJobGroup("near", "near-duplicates")
+    try:
+        neardup.duplicates(docs)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert 10 < len(sc.statusTracker().getJobIdsForGroup("near")) < 110
+
+
+def test_heavy_keys_are_split_off_only_where_there_are_any(spark, tmp_path):
+    left = spark.range(6000).select(F.when(F.col("id") < 3000, 0).otherwise(F.col("id")).alias("k"), "id")
+    for name, rows in (("heavy", left), ("light", left.filter("id > 2990"))):
+        counts = common.saved(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")), f"{tmp_path}/{name}")
+        got = common.heavy_split_join(rows, counts, ["k"], "n", 6000, counts)
+        assert got.count() == rows.count() and got.filter(F.col("k") == 0).count() == rows.filter(F.col("k") == 0).count()
+        assert ("BroadcastExchange" in got._jdf.queryExecution().optimizedPlan().toString() or "broadcast" in got._jdf.queryExecution().optimizedPlan().toString()) == (name == "heavy")
+
+
 def test_pruning_misses_few_pairs():
     needed = neardup.least_matches(0.85, 1e-7)
     r = np.random.default_rng(5)
