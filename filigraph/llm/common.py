@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import os
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import is_local, local_path, saved, ship, work_dir
+from ..runtime import is_local, local_path, map_file, put_file, saved, ship, work_dir  # noqa: F401 (the operators take them from here)
 
 #: ASCII white space as the operators define it: space and \x09-\x0D.
 WHITE = " \t\n\x0b\x0c\r"
@@ -40,36 +38,6 @@ NO_ID = 2**63 - 1
 BROADCAST_ROWS = 50_000
 
 
-def put_file(uri: str, data: bytes) -> None:
-    """Write a whole file under its final name in one step, so that a retried task is harmless."""
-    if is_local(uri):
-        path = local_path(uri)
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        part = f"{path}.{uuid.uuid4().hex}.part"
-        with open(part, "wb") as f:
-            f.write(data)
-        os.replace(part, path)
-        return
-    from pyarrow import fs
-
-    store, path = fs.FileSystem.from_uri(uri)
-    store.create_dir(os.path.dirname(path), recursive=True)
-    with store.open_output_stream(path) as f:
-        f.write(data)
-
-
-def map_file(uri: str) -> np.ndarray:
-    """The bytes of a file of the shared folder: memory-mapped where it is mounted, read otherwise."""
-    if is_local(uri):
-        path = local_path(uri)
-        return np.memmap(path, np.uint8, "r") if os.path.getsize(path) else np.zeros(0, np.uint8)
-    from pyarrow import fs
-
-    store, path = fs.FileSystem.from_uri(uri)
-    with store.open_input_stream(path) as f:
-        return np.frombuffer(f.read(), np.uint8)
-
-
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:
     """Ship the package to the workers, and bound what one Arrow batch of texts holds."""
     ship(spark)
