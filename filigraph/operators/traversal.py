@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -180,24 +181,27 @@ def core(g: Graph) -> tuple[Graph, DataFrame]:
     return g.induced_renumbered(scc.join(F.broadcast(top), "component", "left_semi").select("id"))
 
 
-def k_cores(g: Graph, max_k: int = 10_000) -> DataFrame:
-    """(id, core): deepest k such that the vertex survives peeling by in + out degree below k."""
-    folder = work_dir(g.edges.sparkSession, "cores")
-    e, v, out, k, step = saved(g.edges, f"{folder}/e"), saved(g.vertices, f"{folder}/v"), [], 0, 0
-    while k < max_k and v.limit(1).count():
-        ends = e.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("d"))
-        d = v.join(ends, "id", "left").select("id", F.coalesce("d", F.lit(0)).alias("d"))
-        step += 1
-        d = saved(d, f"{folder}/d{step}")
-        k = max(k, d.agg(F.min("d")).first()[0])  # nobody leaves below the smallest degree
-        gone = d.filter(F.col("d") <= k).select("id", F.lit(k).cast("long").alias("core"))
-        out.append(gone)
-        v = saved(v.join(gone, "id", "left_anti"), f"{folder}/v{step}")
-        e = saved(e.join(v.withColumnRenamed("id", "src"), "src", "left_semi").join(v.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst"), f"{folder}/e{step}")
-    done = out[0] if out else g.vertices.limit(0).withColumn("core", F.lit(0).cast("long"))
-    for d in out[1:]:
-        done = done.unionByName(d)
-    return done
+def k_cores(g: Graph) -> DataFrame:
+    """(id, core): deepest k such that the vertex survives peeling by in + out degree below k.
+
+    From the degrees on, each vertex takes the largest k of which it has as many ties to vertices of k or more,
+    until nothing changes: that is its core.  A round reads blocks of ties and one number a vertex.
+    """
+    from .rounds import Rounds
+
+    both = g.edges.unionByName(g.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+
+    def step(ids, sizes, ties, values, own, _):
+        owner = np.repeat(np.arange(len(ids)), sizes)
+        near = np.where(ties == owner + own.start, values.max(), values[ties])  # a loop stays as long as its vertex
+        key = (owner << 32) | ((1 << 32) - 1 - near)
+        key.sort()
+        rank = np.arange(len(key)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        high = ((1 << 32) - 1 - (key & ((1 << 32) - 1))) > rank
+        return np.minimum(values[own], np.bincount(owner[high], minlength=len(ids)))
+
+    core = Rounds(both, "cores").run(lambda ids, sizes, at: sizes, step, 1_000_000)
+    return g.vertices.join(core, "id", "left").select("id", F.coalesce("value", F.lit(0)).cast("long").alias("core"))
 
 
 def shortest_path(g: Graph, s: int, t: int, max_levels: int = 10_000) -> DataFrame:
