@@ -6,12 +6,15 @@ each pass, which stops neighbours from swapping for ever.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..cooccur import hashed, run_starts
 from ..graph import Graph, numbered
 from ..runtime import saved, work_dir
 from . import traversal
+from .rounds import Rounds
 
 
 def label_propagation(g: Graph, passes: int = 10) -> DataFrame:
@@ -19,23 +22,31 @@ def label_propagation(g: Graph, passes: int = 10) -> DataFrame:
     return absolute_potts(g, 0.0, passes)
 
 
-def absolute_potts(g: Graph, gamma: float, passes: int = 5) -> DataFrame:
-    """(id, label) maximising k_l - gamma (size_l - k_l), the smaller label at ties."""
-    folder = work_dir(g.edges.sparkSession, "labels")
-    e = saved(g.undirected().edges.filter("src <> dst"), f"{folder}/e")
-    x = saved(g.vertices.select("id", F.col("id").alias("label")), f"{folder}/0")
-    for k in range(2 * passes):
-        size = x.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-        near = e.join(x, F.col("dst") == F.col("id")).groupBy("src", "label").agg(F.count(F.lit(1)).alias("k"))
-        score = near.join(size, "label").withColumn("s", F.col("k") - gamma * (F.col("size") - F.col("k")))
-        best = score.groupBy("src").agg(F.max_by("label", F.struct("s", (-F.col("label")).alias("l"))).alias("to"))
-        turn = F.pmod(F.xxhash64("id"), F.lit(2)) == k % 2
-        y = x.join(best, F.col("id") == F.col("src"), "left").select("id", F.when(turn & F.col("to").isNotNull(), F.col("to")).otherwise(F.col("label")).alias("label"), "label")
-        y = saved(y.toDF("id", "label", "old"), f"{folder}/{k + 1}")
-        x = y.select("id", "label")
-        if k % 2 and not y.filter("label <> old").limit(1).count():
-            break
-    return x
+def absolute_potts(g: Graph, gamma: float, passes: int = 5, ties: Rounds | None = None) -> DataFrame:
+    """(id, label) maximising k_l - gamma (size_l - k_l), the smaller label at ties.
+
+    ``ties``: the blocks of the graph's ``undirected_ties``, where several runs share them.
+    """
+
+    def step(ids, sizes, ties, values, own, k):
+        owner = np.repeat(np.arange(len(ids)), sizes)
+        key = (owner << 32) | values[ties]
+        key.sort()
+        at = run_starts(key)
+        owner, label, n = key[at] >> 32, key[at] & 0xFFFFFFFF, np.diff(np.append(at, len(key)))
+        score = n - gamma * (np.bincount(values, minlength=len(values))[label] - n)
+        first = run_starts(owner)
+        best = np.flatnonzero(score == np.repeat(np.maximum.reduceat(score, first), np.diff(np.append(first, len(owner)))))
+        best = best[run_starts(owner[best])]  # labels ascend
+        turn = (hashed(ids, np.full(len(ids), 42), 64) & 1) == k % 2
+        return np.where(turn, label[best], values[own])
+
+    x = (ties or undirected_ties(g)).run(lambda ids, sizes, at: at + np.arange(len(ids)), step, 2 * passes, lambda k, changed: k % 2 == 1 and not changed, False, True)
+    return g.vertices.join(x, "id", "left").select("id", F.coalesce("value", "id").alias("label"))
+
+
+def undirected_ties(g: Graph) -> Rounds:
+    return Rounds(g.undirected().edges.filter("src <> dst"), "labels")
 
 
 def coarse(edges: DataFrame, labels: DataFrame) -> DataFrame:
